@@ -3,12 +3,49 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veldtext.llm.byte_bpe import encode_documents
 from veldtext.llm.common import table
 from veldtext.llm.exact_dedup import exact_groups
+from veldtext.llm.near_dedup import near_components
+from veldtext.llm.packing import pack_documents
+from veldtext.llm.quality import quality_rules
 from veldtext.llm.sharding import shard_documents
 
 
+def _tokenizers():
+    """The folder of public tokenizers; its module is looked up only when a query needs it."""
+    import public_tokenizers
+
+    return public_tokenizers
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizers()
+    return pack_documents(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizers()
+    return encode_documents(
+        table(spark, sf_dir, "documents"), files.path("byte_bpe_multi_50k.tiktoken"), files.PATTERN
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """broken_rules: the names of the rules that reject the document, joined by commas."""
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("broken", ",").alias("broken_rules"),
+    )
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -18,6 +55,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_near_dedup": op6_near_dedup,
     "op7_shard_documents": op7_shard_documents,
     "op9_exact_dedup": op9_exact_dedup,
 }
