@@ -12,6 +12,7 @@ from veldtext.llm.near_dedup import near_components
 from veldtext.llm.packing import pack_documents
 from veldtext.llm.quality import quality_rules
 from veldtext.llm.sharding import shard_documents
+from veldtext.llm.suffix_dedup import remove_repeats
 
 
 def _tokenizers():
@@ -21,6 +22,10 @@ def _tokenizers():
     return public_tokenizers
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizers()
     return pack_documents(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN)
@@ -55,6 +60,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_quality_rules": op5_quality_rules,
