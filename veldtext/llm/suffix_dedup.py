@@ -407,10 +407,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the repeats removed from their texts, without the documents of which nothing is left."""
+    """docs with the repeats removed from their texts, without the documents of which nothing is left.
+
+    A column n_chars, if there is one, gets the number of characters left.
+    """
     left = covered_texts(docs, id_col, text_col, with_texts=True).where("n_bytes > n_removed").select("row", F.col("text").alias("left_text"))
     left = left.dropDuplicates(["row"])
     names = [c for c in docs.columns if c != text_col]
     own = docs.select(*[F.col(f"`{c}`") for c in names], _row_key(id_col, text_col).alias("row key"))
     joined = own.join(left.withColumnRenamed("row", "row key"), "row key")
-    return joined.select(*[F.col("left_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    types = dict(docs.dtypes)
+    changed = {text_col: F.col("left_text")}
+    if "n_chars" in types:
+        changed["n_chars"] = F.length("left_text").cast(types["n_chars"])
+    return joined.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
