@@ -9,8 +9,10 @@ with similarity 0.75 share none with probability 4.4e-5.
 
 Links are confirmed on the full sets. Equal sets are folded first. In hub rounds every document is then checked against
 one member of the buckets that it is in, the one that it shares most buckets with, which joins most of a large group of
-copies by one link each. Only pairs that share a bucket and are still in different components are looked at after that,
-all of them, in blocks of bounded size, so that no link between components is lost and no group gives all its pairs.
+copies by one link each. After that, all pairs that share a bucket and are still in different components are screened by
+longer signatures, in blocks of bounded size, each pair in the first bucket that it shares. What passes is not a list of
+pairs but of documents and components: such a document is confirmed against the members of the component in place, so
+that a group's pairs are looked at and never written down, and no link between components is lost.
 
 The shingles are compared as 64-bit hashes; equal sets are recognised by 128 bits.
 
@@ -34,10 +36,11 @@ from veldtext.llm.pretokens import held, sliced
 
 CHUNKS, WIDTH = 10, 5
 SYMBOLS = CHUNKS * WIDTH
-#: Pairs whose signatures differ in more symbols are not confirmed: at similarity 0.75 more do with probability 2e-6.
-MOST_DIFFERENT = 27
-#: Rows of a block when the rest of a bucket is compared.
-BLOCK = 2048
+#: Symbols of the longer signature, whose first SYMBOLS make the keys. Pairs that differ in more than MOST_DIFFERENT
+#: of them are not confirmed: at similarity 0.75 more do with probability 2e-5.
+SCREEN, MOST_DIFFERENT = 128, 52
+#: Rows of a block when the rest of a bucket is screened; members of a block when a component is confirmed.
+BLOCK, MEMBERS = 2048, 512
 MOST_WORDS = 400_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -61,7 +64,7 @@ class Shingler:
     def __init__(self, words: int = 5):
         self.words, self.known = words, {}
         self.places = _odd(1, words)
-        self.functions = _odd(2, SYMBOLS)
+        self.functions = _odd(2, SCREEN)
         self.factors = _odd(3, SYMBOLS).reshape(CHUNKS, WIDTH)
         self.left_out = _odd(4, SYMBOLS).reshape(CHUNKS, WIDTH)
 
@@ -89,12 +92,12 @@ class Shingler:
 
     def summary(self, own: np.ndarray) -> tuple[list[int], int, int, bytes]:
         """Keys, the two halves of the set's identity, and the signature."""
-        least = np.full(SYMBOLS, 2**64 - 1, np.uint64)
-        for k in range(0, len(own), 8192):
-            least = np.minimum(least, (own[k : k + 8192, None] * self.functions).min(axis=0))
+        least = np.full(SCREEN, 2**64 - 1, np.uint64)
+        for k in range(0, len(own), 2048):
+            least = np.minimum(least, (own[k : k + 2048, None] * self.functions).min(axis=0))
         symbols = (_mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
         # Each symbol of a chunk is a term; a key is the sum of a chunk's terms without one of them.
-        terms = _mix((symbols.reshape(CHUNKS, WIDTH) + np.uint64(1)) * self.factors)
+        terms = _mix((symbols[:SYMBOLS].reshape(CHUNKS, WIDTH) + np.uint64(1)) * self.factors)
         keys = _mix(terms.sum(axis=1, dtype=np.uint64)[:, None] - terms + self.left_out)
         halves = np.array([own.sum(dtype=np.uint64) + np.uint64(len(own)), _mix(own).sum(dtype=np.uint64)], np.uint64)
         return keys.reshape(-1).view(np.int64).tolist(), *halves.view(np.int64).tolist(), symbols.tobytes()
@@ -162,7 +165,7 @@ def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in (2, 3)]
+            sigs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SCREEN) for c in (2, 3)]
             near = pa.array(_near(*sigs))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
@@ -242,7 +245,7 @@ def _mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     keys = materialize(
         rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     )
-    return materialize(rows.join(keys, "key", "left_semi").select("key", "doc_id", "comp"))
+    return materialize(rows.join(keys, "key", "left_semi").select("key", "at", "doc_id", "comp"))
 
 
 def _hub_pairs(rows: DataFrame, rank: Column) -> DataFrame:
@@ -258,10 +261,58 @@ def _hub_pairs(rows: DataFrame, rank: Column) -> DataFrame:
     )
 
 
-def _rest_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """All pairs that share a bucket across components, screened; rows: key, doc_id, comp.
+def _meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first key that each pair of signatures shares, or -1: of a chunk that agrees, the key that
+    leaves out its first symbol; of one with an error, the key that leaves out that."""
+    apart = (a[:, :SYMBOLS] != b[:, :SYMBOLS]).reshape(-1, CHUNKS, WIDTH)
+    errors = apart.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    row = np.arange(len(a))
+    return np.where(errors[row, chunk] <= 1, chunk * WIDTH + apart[row, chunk].argmax(axis=1), -1)
 
-    In each bucket the rows outside its largest component meet all rows, in blocks of BLOCK by BLOCK rows.
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list, work) -> Iterator[pa.RecordBatch]:
+    """work(one array for each column) for each run of equal first columns of sorted batches."""
+    rest = None
+
+    def parts(cols: list, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            out = work([c[x:y] for c in cols[1:]])
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [read(batch.column(i)) for i, read in enumerate(columns)]
+        if rest is not None:
+            cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
+        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]]).tolist()
+        yield from parts(cols, starts)
+        rest = [c[starts[-1] :] for c in cols]
+    if rest is not None:
+        yield from parts(rest, [0, len(rest[0])])
+
+
+def _plain(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _symbols(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SCREEN)
+
+
+def _objects(column: pa.Array) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def _rest(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): a document and another component with a member that shares a bucket with it and passes the screen.
+
+    In each bucket the rows outside its largest component meet all rows, in blocks of BLOCK by BLOCK rows; rows: key, at
+    (number of the key), doc_id, comp.
     """
     sizes = rows.groupBy("key", "comp").count()
     most = sizes.groupBy("key").agg(F.max(F.struct("count", "comp")).alias("top"), F.sum("count").alias("all"))
@@ -277,19 +328,18 @@ def _rest_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
     own = F.xxhash64("doc_id")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     few_every = F.sequence(F.lit(0), F.col("few_blocks") - 1)
+    facts = ["doc_id", "comp", "n", "sig", "main", "at"]
     few = full.where("comp <> main").select(
-        "key", F.pmod(own, F.col("few_blocks")).cast("int").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), "doc_id", "comp", "n", "sig", "main"
-    )
-    many = full.select(
-        "key", F.explode(few_every).alias("i"), F.pmod(own, F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id", "comp", "n", "sig", "main"
+        "key", F.pmod(own, F.col("few_blocks")).cast("int").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), *facts
     )
+    many = full.select("key", F.explode(few_every).alias("i"), F.pmod(own, F.col("blocks")).cast("int").alias("j"), F.lit(1).alias("side"), *facts)
     blocks = few.unionByName(many).select(
-        F.xxhash64("key", "i", "j").alias("block"), "side", "doc_id", "comp", "n", "sig", (F.col("comp") == F.col("main")).alias("in_main")
+        F.xxhash64("key", "i", "j").alias("block"), "side", "doc_id", "comp", "n", (F.col("comp") == F.col("main")).alias("in_main"), "at", "sig"
     )
     blocks = blocks.repartition("block").sortWithinPartitions("block", "side")
 
-    def compare(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        side, doc, comp, n, sig, main = part
+    def screen(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        side, doc, comp, n, main, at, sig = part
         cut = int(np.searchsorted(side, 1))
         found = []
         for k in range(0, cut, 64):
@@ -297,36 +347,61 @@ def _rest_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
             ok = (comp[x, None] != comp[None, cut:]) & (main[cut:] | (doc[x, None] < doc[None, cut:]))
             low, high = np.minimum(n[x, None], n[None, cut:]), np.maximum(n[x, None], n[None, cut:])
             p, q = np.nonzero(ok & (4 * low >= 3 * high))
-            for step in range(0, len(p), 65536):
-                u, v = p[step : step + 65536] + k, q[step : step + 65536] + cut
+            for step in range(0, len(p), 8192):
+                u, v = p[step : step + 8192] + k, q[step : step + 8192] + cut
                 near = _near(sig[u], sig[v])
-                found.append((doc[u[near]], doc[v[near]]))
+                u, v = u[near], v[near]
+                here = _meeting(sig[u], sig[v]) == at[0]
+                if here.any():
+                    found.append(np.unique(np.stack([doc[u[here]], comp[v[here]]], axis=1), axis=0))
         if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            return None
+        found = np.unique(np.concatenate(found), axis=0)
+        return found[:, 0], found[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        return _groups(batches, [_plain] * 7 + [_symbols], screen)
 
-        def finished(cols: list[np.ndarray], cuts: np.ndarray) -> pa.RecordBatch:
-            pairs = [compare([c[a:b] for c in cols[1:]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1]
-            a = np.concatenate([np.empty(0, np.int64), *[p[0] for p in pairs]])
-            b = np.concatenate([np.empty(0, np.int64), *[p[1] for p in pairs]])
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+    return blocks.mapInArrow(run, "a long, b long").distinct()
 
-        for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 3, 4)]
-            sig = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-            cols += [sig, batch.column(6).to_numpy(zero_copy_only=False)]
-            if rest is not None:
-                cols = [np.concatenate([r, c]) for r, c in zip(rest, cols, strict=True)]
-            starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-            yield finished(cols, starts)
-            rest = [c[starts[-1] :] for c in cols]
-        if rest is not None:
-            yield finished(rest, np.array([0, len(rest[0])]))
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+def _joined(meets: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Of (a, b) as :func:`_rest` gives them, those where a member of b has the similarity to a."""
+    comps = materialize(
+        roots.join(meets.select(F.col("b").alias("comp")).distinct(), "comp", "left_semi")
+    )
+    counts = materialize(comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")))
+    wanted = meets.select(F.col("a").alias("doc_id")).unionByName(comps.select("doc_id")).distinct()
+    texts = _texts(docs, id_col, text_col).join(wanted, "doc_id", "left_semi")
+    sets = materialize(shingle_sets(texts, words=words))
+    members = comps.join(counts, "comp").select("comp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("j"), F.lit(0).alias("side"), "doc_id")
+    guests = meets.join(counts, meets["b"] == counts["comp"]).select(
+        "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"), F.col("a").alias("doc_id")
+    )
+    blocks = members.unionByName(guests).join(sets, "doc_id")
+    blocks = blocks.select(F.xxhash64("comp", "j").alias("block"), "side", "doc_id", "comp", "own")
+    blocks = blocks.repartition("block").sortWithinPartitions("block", "side")
+
+    def confirm(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+        side, doc, comp, own = part
+        cut = int(np.searchsorted(side, 1))
+        if not cut:
+            return None
+        flat = np.frombuffer(b"".join(own[:cut].tolist()), np.uint64)
+        sizes = np.array([len(o) // 8 for o in own[:cut]])
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        found = []
+        for guest, mine in zip(doc[cut:].tolist(), own[cut:].tolist(), strict=True):
+            mine = np.frombuffer(mine, np.uint64)
+            common = np.add.reduceat(mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat, starts, dtype=np.int64)
+            if (100 * common >= percent * (sizes + len(mine) - common)).any():
+                found.append(guest)
+        return (np.array(found, np.int64), np.full(len(found), comp[0], np.int64)) if found else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _groups(batches, [_plain] * 4 + [_objects], confirm)
+
+    return blocks.mapInArrow(run, "a long, b long")
 
 
 def near_components(
@@ -337,24 +412,24 @@ def near_components(
     real = every.where("n > 0")
     same = materialize(real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
     reps = materialize(real.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    keyed = reps.select("doc_id", F.explode("keys").alias("key"))
+    keyed = reps.select("doc_id", F.posexplode("keys").alias("at", "key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"))
     buckets = materialize(keyed.join(shared, "key", "left_semi"))
     roots = materialize(buckets.select("doc_id").distinct().withColumn("comp", F.col("doc_id")))
-    rows, size = materialize(buckets.withColumn("comp", F.col("doc_id"))), None
+    rows = buckets.withColumn("comp", F.col("doc_id"))
     for k in range(hub_rounds):
         rank = F.lit(0) if k == 0 else F.xxhash64("key", "doc_id", F.lit(k))
         pairs = materialize(_screened(_hub_pairs(rows, rank), reps))
         found = materialize(_confirmed(pairs, docs, id_col, text_col, words, percent))
-        if not found.isEmpty():
+        n_pairs, n_found = pairs.count(), found.count()
+        if n_found:
             roots = _relabelled(roots, found)
-        rows, before = _mixed(buckets, roots), size
-        size = rows.count()
-        if not size or before is not None and size > before // 2:
-            break
-    if size:
-        pairs = materialize(_rest_pairs(rows, reps))
-        found = materialize(_confirmed(pairs, docs, id_col, text_col, words, percent))
+        rows = _mixed(buckets, roots)
+        if 4 * n_found < n_pairs or not n_pairs:
+            break  # what is left finds no hub any more
+    meets = materialize(_rest(rows, reps))
+    if not meets.isEmpty():
+        found = materialize(_joined(meets, roots, docs, id_col, text_col, words, percent))
         if not found.isEmpty():
             roots = _relabelled(roots, found)
     root_of = roots.select(F.col("doc_id").alias("rep"), "comp")
