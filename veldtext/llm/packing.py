@@ -13,6 +13,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +26,7 @@ from veldtext.llm.common import materialize
 from veldtext.llm.pretokens import ChunkMemo, held, sliced
 
 #: Runs in which the pieces of one length are numbered; RUNS * size rows at most are broadcast.
-RUNS = 256
+RUNS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -33,6 +34,7 @@ class JsonTokenizer:
     """Ids by the tokenizers library, without special tokens of its own; a chunk's ids as little-endian 32-bit."""
 
     def __init__(self, path: str, pattern: str, between: str = "<|endoftext|>"):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.model, self.between = Tokenizer.from_file(path), between
@@ -44,10 +46,10 @@ class JsonTokenizer:
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Many chunks in one call: the special token between them keeps them apart."""
-        out = []
-        for k in range(0, len(chunks), 512):
-            part = chunks[k : k + 512]
-            ids = np.array(self._one(self.between.join(part)), "<u4")
+        parts, out = [chunks[k : k + 64] for k in range(0, len(chunks), 64)], []
+        found = self.model.encode_batch_fast([self.between.join(p) for p in parts], add_special_tokens=False)
+        for part, encoding in zip(parts, found, strict=True):
+            ids = np.array(encoding.ids, "<u4")
             cuts = np.flatnonzero(ids == self.end)
             if len(cuts) != len(part) - 1:  # a chunk holds the special token itself
                 out += [np.array(self._one(c), "<u4").tobytes() for c in part]

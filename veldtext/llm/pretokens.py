@@ -2,40 +2,51 @@
 
 A text is cut before each single space that neither follows nor precedes other white space. Pre-tokens never cross
 such a place, so the ids of a text are the ids of its chunks, one after the other, and a chunk that was seen before
-need not be encoded again. The memory is emptied when it reaches a fixed number of chunks.
+need not be encoded again. A fixed number of chunks is remembered.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Callable, Iterable
 
 import regex
 
-#: White space beside white space, or a space at either end: the cut places of such texts are found by the pattern.
-_UNEVEN = regex.compile(r"\s \s|  |^ | $")
-MOST_CHUNKS = 200_000
+#: White space other than the plain space.
+_OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BEFORE_SPACE = tuple(c + " " for c in _OTHER_SPACES)
+_BETWEEN = re.compile(f"[{_OTHER_SPACES}] [{_OTHER_SPACES}]")
+#: Chunks of one generation. Two are remembered: what the younger one lacks moves over from the older one.
+MOST_CHUNKS = 250_000
 
 
 class ChunkMemo:
     """value_of(list of chunks) gives a value for each; values() gives those of a text's chunks."""
 
     def __init__(self, value_of: Callable[[list[str]], list], pattern: str):
-        self.value_of, self.pattern, self.seen = value_of, regex.compile(pattern), {}
+        self.value_of, self.pattern, self.seen, self.older = value_of, regex.compile(pattern), {}, {}
 
     def keys(self, text: str) -> list:
-        """A string stands for the chunk with a space before it, a tuple for one without."""
-        if _UNEVEN.search(text):
-            return [t[1:] if t[0] == " " and len(t) > 1 else (t,) for t in self.pattern.findall(text)]
+        """A string stands for the chunk with a space before it, a tuple for one without.
+
+        A text with a space beside other white space, or at an end, is cut by the pattern itself.
+        """
         head, *rest = text.split(" ")
-        return [(head,), *rest] if head else rest
+        if "" in rest or (not head and rest) or any(c in text for c in _BEFORE_SPACE) and _BETWEEN.search(text):
+            return [t[1:] if t[0] == " " and len(t) > 1 else (t,) for t in self.pattern.findall(text)]
+        return [(head,), *rest]
 
     def values(self, texts: Iterable[str]) -> list[list]:
         keyed = [self.keys(t) if t else [] for t in texts]
         new = set().union(*keyed).difference(self.seen)
         if len(self.seen) + len(new) > MOST_CHUNKS:
-            self.seen = {}
+            self.older, self.seen = self.seen, {}
             new = set().union(*keyed)
+        if self.older:
+            known = new.intersection(self.older)
+            self.seen.update((k, self.older[k]) for k in known)
+            new -= known
         if new:
             new = list(new)
             chunks = [k[0] if isinstance(k, tuple) else " " + k for k in new]
