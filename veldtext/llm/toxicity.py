@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldtext.llm.common import materialize
 from veldtext.llm.pretokens import sliced
 
 #: Labelled rows of a fit, at most; terms of a lexicon, at most; least statistic and support of a term.
 MAX_ROWS, MAX_TERMS, LEAST_G, LEAST_ROWS = 20_000, 20_000, 20.0, 3
 #: Characters of the word beginnings that are terms beside the whole words.
 BEGINNINGS = (4, 5, 6)
-MOST_TOKENS = 200_000
+MOST_TOKENS = 400_000
 #: Second-person words of the four languages of the tables.
 SECOND = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos "
@@ -52,7 +54,9 @@ NAMES = (
 
 
 def bare(token: str) -> str:
-    return _EDGE.sub("", token.lower())
+    """The token in lower case without what is neither letter nor number at its ends."""
+    word = token.lower().strip(punctuation)
+    return word if word.isalpha() else _EDGE.sub("", word)
 
 
 def terms_of(word: str) -> list[str]:
@@ -69,9 +73,18 @@ class Features:
         self.lexicon, self.seen, self.table = lexicon, {}, np.zeros((1024, self.WIDTH), np.float32)
 
     def _token(self, token: str) -> list[float]:
-        word, lexicon = bare(token), self.lexicon
-        whole = lexicon.get("=" + word, 0.0)
-        begin = max((lexicon.get(t, 0.0) for t in terms_of(word)[1:]), default=0.0)
+        word, get = bare(token), self.lexicon.get
+        whole = get("=" + word, 0.0)
+        begin = max(get(word[:4], 0.0), get(word[:5], 0.0), get(word[:6], 0.0)) if len(word) >= BEGINNINGS[0] else 0.0
+        thrice = float(len(word) - len(set(word)) > 1 and bool(_REPEAT.search(word)))
+        if word.isalpha():  # nothing is mixed in: only the ends and the capitals are left to count
+            upper = 0 if token.islower() else sum(map(str.isupper, token))
+            marks = 0 if len(token) == len(word) else sum(not c.isalnum() for c in token)
+            return [
+                max(whole, begin), float(whole > 0), float(begin > 0), 0.0, float(word in SECOND), upper, float(upper > 1 and upper == len(word)),
+                token.count("!") if marks else 0, token.count("?") if marks else 0, marks, 0.0, thrice, float(len(word) == 1),
+            ]
+        lexicon = self.lexicon
         letters = sum(c.isalpha() for c in word)
         mixed = float(0 < letters < len(word))
         read = 0.0
@@ -83,7 +96,7 @@ class Features:
         weight = max(whole, begin, read)
         return [
             weight, float(whole > 0), float(begin > 0), float(read > 0), float(word in SECOND), upper, float(upper > 1 and upper == letters),
-            token.count("!"), token.count("?"), marks, mixed, float(bool(_REPEAT.search(word))), float(len(word) == 1),
+            token.count("!"), token.count("?"), marks, mixed, thrice, float(len(word) == 1),
         ]
 
     def rows(self, texts: list[str]) -> np.ndarray:
@@ -217,6 +230,7 @@ def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
     counted = rows.select("text", "toxic", "fold").mapInArrow(run, "term string, fold int, toxic int, n long").groupBy("term").agg(
         *[F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == t), F.col("n")).otherwise(0)).alias(f"n{f}{t}") for f in (0, 1) for t in (0, 1)]
     )
+    counted = materialize(counted.where(f"n01 + n11 >= {LEAST_ROWS}"))
     out = []
     for folds in ((0,), (1,), (0, 1)):
         toxic, clean = (sum(sizes.get((f, t), 0) for f in folds) for t in (1, 0))
@@ -275,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .withColumn("fold", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)).cast("int"))
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(own), "id")  # at most max_rows small rows
+    rows = materialize(texts.join(F.broadcast(own), "id"))  # at most max_rows small rows on one side, and texts in all
     lexicons = _lexicons(rows)
     found = _feature_rows(rows, lexicons).collect()  # a short vector for each of at most max_rows labels
     none = np.empty(0)
