@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Symbols of a shard.
-SHARD = 1 << 17
+SHARD = 1 << 16
 
 
 def coded(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +45,35 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for df. Nothing that is still to be computed may read it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        if "/veldtext-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    It does so once the driver's garbage collector finds them unused, which by itself may be long after the disks of
+    the executors are full.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """batches, giving back to the system after each what its making has left free, as idle workers keep their memory."""
+    libc = ctypes.CDLL(None)
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def squeezed(text: Column) -> Column:
     """text without any white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -1,6 +1,6 @@
 """Suffix-array dedup: removes each byte under a 50-byte string that also starts in a document with a smaller id.
 
-1. Blocks. Documents are written in blocks of some megabytes, compressed, one row each.
+1. Blocks. Documents are written in blocks of a quarter of a megabyte, or of one larger document, compressed, one row each.
 2. Anchors. The anchor of a 50-byte window is the least hash among its 24-byte strings. Equal windows have equal
    anchors, so a window whose anchor occurs once in the whole table is unique. Each block sends its distinct anchors,
    packed by ranges of the hash; the ranges return those that occur twice or more.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldtext.llm.bwt import least_owner
-from veldtext.llm.common import materialize
+from veldtext.llm.common import discard, materialize, release, trimmed
 
 #: Bytes of a repeated string, and of the strings whose least hash is a window's anchor.
 WINDOW, GRAM = 50, 24
@@ -39,7 +39,9 @@ LONGEST = 64
 #: Occurrences beyond which an anchor's windows go alone.
 HOT = 10_000
 #: Bytes of texts in a block, anchors in a range, and symbols merged at a time.
-BLOCK_BYTES, RANGE_BYTES, MERGE_SYMBOLS = 2_000_000, 24_000_000, 1_000_000
+BLOCK_BYTES, RANGE_BYTES, MERGE_SYMBOLS = 250_000, 6_000_000, 300_000
+#: Of zstandard, for what is written and shuffled.
+LEVEL = 6
 _MAX_ID = 2**63 - 1
 _U = np.uint64
 
@@ -107,8 +109,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         part.sort(key=lambda x: (x[0], x[1]))
         ids, rows, texts = zip(*part, strict=True)
         ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
-        squeezed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-        return block, int(ends[-1]), np.array(ids, np.int64).tobytes(), np.array(rows, np.int64).tobytes(), ends.tobytes(), squeezed
+        return block, int(ends[-1]), np.array(ids, np.int64).tobytes(), np.array(rows, np.int64).tobytes(), ends.tobytes(), _squeezed(b"".join(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -133,7 +134,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX_ID)).alias("id"), _row_key(id_col, text_col).alias("row"), text.cast("binary").alias("data")
     )
-    return rows.mapInArrow(run, "block long, n_bytes long, ids binary, rows binary, ends binary, data binary")
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), "block long, n_bytes long, ids binary, rows binary, ends binary, data binary")
 
 
 def _row_key(id_col: str, text_col: str):
@@ -142,8 +143,30 @@ def _row_key(id_col: str, text_col: str):
 
 
 def _open(ends: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data) if data else b""
-    return np.frombuffer(raw, np.uint8), np.frombuffer(ends, np.int64)
+    return np.frombuffer(_loose(data), np.uint8), np.frombuffer(ends, np.int64)
+
+
+def _short(value: np.ndarray) -> np.ndarray:
+    """The upper 48 bits, by which anchors are counted: two that agree in them only cost a needless look."""
+    return value >> _U(16)
+
+
+def _packed(short: np.ndarray) -> bytes:
+    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(data)
+
+
+def _loose(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data) if data else b""
 
 
 def _range_of(value: np.ndarray, ranges: int) -> np.ndarray:
@@ -153,12 +176,13 @@ def _range_of(value: np.ndarray, ranges: int) -> np.ndarray:
 def _sent_anchors(blocks: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                value, counts = np.unique(segments(*_open(row["ends"], row["data"]))[0], return_counts=True)
-                cuts = np.searchsorted(_range_of(value, ranges), np.arange(ranges + 1))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                value, counts = np.unique(_short(segments(*_open(row["ends"], row["data"]))[0]), return_counts=True)
+                cuts = np.searchsorted(_range_of(value << _U(16), ranges), np.arange(ranges + 1))
                 counts = np.minimum(counts, 255).astype(np.uint8)
                 out = [
-                    {"range": k, "block": row["block"], "value": value[a:b].tobytes(), "times": counts[a:b].tobytes()}
+                    {"range": k, "block": row["block"], "value": _packed(value[a:b]), "times": counts[a:b].tobytes()}
                     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
                     if a < b
                 ]
@@ -173,7 +197,7 @@ def _shared_anchors(sent: DataFrame) -> DataFrame:
     """For each block, its anchors that occur twice or more anywhere, and those that occur more than HOT times."""
 
     def run(group: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(v, np.uint64) for v in group.column("value").to_pylist()]
+        parts = [_unpacked(v) for v in group.column("value").to_pylist()]
         value = np.concatenate(parts)
         times = np.frombuffer(b"".join(group.column("times").to_pylist()), np.uint8)
         order = np.argsort(value)
@@ -188,8 +212,8 @@ def _shared_anchors(sent: DataFrame) -> DataFrame:
             keep = count > 1
             if keep.any():
                 out["block"].append(block)
-                out["value"].append(own[keep].tobytes())
-                out["hot"].append(own[count > HOT].tobytes())
+                out["value"].append(_packed(own[keep]))
+                out["hot"].append(_packed(own[count > HOT]))
         return pa.table({"block": pa.array(out["block"], pa.int64()), "value": pa.array(out["value"], pa.binary()), "hot": pa.array(out["hot"], pa.binary())})
 
     found = sent.groupBy("range").applyInArrow(run, "block long, value binary, hot binary")
@@ -198,7 +222,7 @@ def _shared_anchors(sent: DataFrame) -> DataFrame:
 
 
 #: A row holds covered windows (range -1) or segments. covered: rows, first windows, windows. segments: the anchor, text
-#: length, id, row and place of each, and the texts.
+#: length, id, row and place of each, and the texts. Both are compressed.
 _MOVED = "range int, block long, numbers binary, texts binary"
 _MOVED_ARROW = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("numbers", pa.binary()), ("texts", pa.binary())])
 
@@ -210,15 +234,16 @@ def _moved(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
         data, ends = _open(row["ends"], row["data"])
         ids, rows = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64)
         value, first, n = segments(data, ends)
-        wanted = np.sort(np.frombuffer(b"".join(row["value"]), np.uint64))
-        hot = np.sort(np.frombuffer(b"".join(row["hot"]), np.uint64))
+        wanted, hot = np.sort(_unpacked(b"".join(row["value"]))), np.sort(_unpacked(b"".join(row["hot"])))
         if not len(wanted):
             return []
-        keep = wanted[np.minimum(np.searchsorted(wanted, value), len(wanted) - 1)] == value
+        short = _short(value)
+        keep = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
         value, first, n = value[keep], first[keep], n[keep]
         raw = data.tobytes()
         if len(hot):
-            alone = hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value
+            short = _short(value)
+            alone = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
             if alone.any():
                 times = n[alone]
                 number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -242,7 +267,7 @@ def _moved(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
         out = []
         if covered:
             c = np.array(covered)
-            out.append({"range": -1, "block": row["block"], "numbers": np.stack([rows[doc[c]], place[c], n[c]]).tobytes(), "texts": b""})
+            out.append({"range": -1, "block": row["block"], "numbers": _squeezed(np.stack([rows[doc[c]], place[c], n[c]]).tobytes()), "texts": b""})
         s = np.array(sent, np.int64)
         where = _range_of(value[s], ranges)
         order = np.argsort(where, kind="stable")
@@ -252,7 +277,7 @@ def _moved(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
             c = s[cuts[k] : cuts[k + 1]]
             numbers = np.stack([value[c].view(np.int64), n[c] + WINDOW - 1, ids[doc[c]], rows[doc[c]], place[c]])
             texts = b"".join([raw[p : p + m + WINDOW - 1] for p, m in zip(first[c].tolist(), n[c].tolist(), strict=True)])
-            out.append({"range": k, "block": row["block"], "numbers": numbers.tobytes(), "texts": texts})
+            out.append({"range": k, "block": row["block"], "numbers": _squeezed(numbers.tobytes()), "texts": _squeezed(texts)})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +287,7 @@ def _moved(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_MOVED_ARROW)
 
-    return blocks.join(shared, "block").select("block", "ids", "rows", "ends", "data", "value", "hot").mapInArrow(run, _MOVED)
+    return blocks.join(shared, "block").select("block", "ids", "rows", "ends", "data", "value", "hot").mapInArrow(lambda batches: trimmed(run(batches)), _MOVED)
 
 
 def _met(moved: DataFrame) -> DataFrame:
@@ -271,7 +296,7 @@ def _met(moved: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         blocks, numbers, texts = [], [], []
         for block, packed, joined in zip(*(group.column(c).to_pylist() for c in ("block", "numbers", "texts")), strict=True):
-            part = np.frombuffer(packed, np.int64).reshape(5, -1)
+            part, joined = np.frombuffer(_loose(packed), np.int64).reshape(5, -1), _loose(joined)
             ends = np.cumsum(part[1]).tolist()
             texts += [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             numbers.append(part)
@@ -332,7 +357,7 @@ def _met(moved: DataFrame) -> DataFrame:
         return pa.table(
             {
                 "block": pa.array(block[cuts]),
-                "covered": pa.array([np.ascontiguousarray(packed[:, a:b]).tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                "covered": pa.array([_squeezed(np.ascontiguousarray(packed[:, a:b]).tobytes()) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
             }
         )
 
@@ -345,22 +370,22 @@ def covered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = materialize(_blocks(docs, id_col, text_col))
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     ranges = max(48, total // RANGE_BYTES)
-    shared = _shared_anchors(_sent_anchors(blocks, ranges))
+    shared = materialize(_shared_anchors(_sent_anchors(blocks, ranges)))
+    release(docs.sparkSession)
     moved = materialize(_moved(blocks, shared, ranges))
-    covered = (
-        moved.where("range < 0")
-        .select("block", F.col("numbers").alias("covered"))
-        .unionByName(_met(moved))
-        .groupBy("block")
-        .agg(F.collect_list("covered").alias("covered"))  # no more than the block's own windows
-    )
+    release(docs.sparkSession)
+    covered = materialize(moved.where("range < 0").select("block", F.col("numbers").alias("covered")).unionByName(_met(moved)))
+    for used in (shared, moved):
+        discard(used)
+    release(docs.sparkSession)
+    covered = covered.groupBy("block").agg(F.collect_list("covered").alias("covered"))  # no more than the block's own windows
 
     def finished(row: dict) -> dict:
         data, ends = _open(row["ends"], row["data"])
         ids, rows = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64)
         starts = np.r_[0, ends[:-1]]
         step = np.zeros(len(data) + 1, np.int64)
-        parts = [np.frombuffer(c, np.int64).reshape(3, -1) for c in row["covered"] or []]
+        parts = [np.frombuffer(_loose(c), np.int64).reshape(3, -1) for c in row["covered"] or []]
         if parts:
             key, first, count = np.concatenate(parts, axis=1)
             order = np.argsort(rows, kind="stable")
