@@ -192,3 +192,21 @@ def test_queries_against_sql(spark, name):
         return sorted(map(str, frame[columns].astype(object).where(frame[columns].notna(), None).map(lambda x: round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else x).itertuples(index=False, name=None)))
 
     assert rows(got) == rows(want)
+
+
+def test_gate_probes_every_document(spark, tmp_path):
+    """A passage inside a longer line opens the gate; a text without one, or with fewer than four words, does not."""
+    import duckdb
+
+    passage = "alpha bravo charlie delta echo foxtrot"
+    texts = {8: f"before {passage} after", 16: passage, 24: "nothing of the kind is in here", 32: "alpha bravo charlie", 40: "", 48: f"x\n{passage.upper()}!\ny"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.path: r.bloom_hit for r in catalogue.QUERIES["ngram_gate"](spark, str(tmp_path)).collect()}
+    assert got == {f"doc_{i}.md": i in (8, 16, 48) for i in texts}
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    assert dict(con.sql(catalogue.ORACLES["ngram_gate"]).fetchall()) == got
+    lined = {r.path for r in catalogue.QUERIES["bloom_gate"](spark, str(tmp_path)).collect()}
+    assert lined == {"doc_16.md", "doc_48.md"}

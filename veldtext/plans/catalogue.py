@@ -429,6 +429,20 @@ def bloom_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.gated(rows.join(hit, "path", "left_semi"), found, "path").where("bloom_hit")
 
 
+@query(
+    f"""WITH {_SEEDED}, {_PATTERNS}, {_LINES},
+        every AS (SELECT doc_id, {_salted("g")} AS d FROM (
+                SELECT doc_id, unnest(list_transform(range(1, greatest(len(ws) - n + 2, 1)), lambda i: array_to_string(ws[i : i + n - 1], ' '))) AS g
+                FROM (SELECT doc_id, string_split({_norm("content")}, ' ') AS ws FROM seeded), unnest([4, 5, 6]) AS sizes(n)) GROUP BY ALL),
+        tested AS (SELECT doc_id, d, {_position("d")} AS bit FROM every, sized, unnest(range(0, k)) AS places(i)),
+        passed AS (SELECT doc_id, d FROM tested WHERE bit IN (SELECT bit FROM setbits) GROUP BY ALL HAVING count(*) = (SELECT k FROM sized))
+        SELECT path, doc_id IN (SELECT doc_id FROM passed) AS bloom_hit FROM seeded"""
+)
+def ngram_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The n-gram gate of every text, whether or not it has a matching line."""
+    return match.gated(_content(spark, sf_dir), _signatures(spark, sf_dir), "path")
+
+
 @query(f"WITH {_SEEDED}, {_PATTERNS}, {_LINES} SELECT doc_id, n AS hash_matches, line AS first_line FROM matches")
 def hash_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.hash_matches(_content(spark, sf_dir), _signatures(spark, sf_dir), "doc_id")
