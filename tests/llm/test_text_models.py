@@ -143,6 +143,20 @@ def test_page_evidence(spark):
     assert (two.declared, two.suffix, two.host, two.text) == (None, None, None, "")
 
 
+def test_rare_languages_are_kept(spark):
+    """More languages than fit in a slice, and than any cap by frequency would leave."""
+    names = [f"l{k:02d}" for k in range(70)]
+    docs = None
+    for k, name in enumerate(names):
+        part = table(spark, [(100 * k + i, prose(1000 + k, 300, 12)) for i in range(1 + (k < 66))], name, None)
+        docs = part if docs is None else docs.unionByName(part)
+    docs = docs.coalesce(2)
+    languages, model = language_id.fit(docs)
+    assert languages == names and model.shape == (71, language_id.BUCKETS)
+    got = language_id.identify(language_id.document_rows(docs), languages, model).collect()
+    assert len(got) == 136 and all(r.accepted and r.lang == names[r.doc_id // 100] == r.text_lang for r in got)
+
+
 def test_no_languages(spark, odd_pairs):
     none = table(spark, odd_pairs).where("false")
     assert language_id.fit(none)[0] == [] and not language_id.survivors(none).collect()

@@ -3,7 +3,8 @@
 Four kinds of evidence meet in one posterior over the languages and a class of texts in none of them:
 
 * the text: likelihoods of its words under character-trigram models. The models are counted, for each declared language,
-  over all labelled documents, by grouped aggregation into a fixed number of hashed trigrams, with smoothing;
+  over all labelled documents, by grouped aggregation into a fixed number of hashed trigrams, with smoothing. Every
+  declared language has a model, however rare; the models take 128 KB a language;
 * the declared language (a markup attribute or a metadata field): right with probability 1 - `wrong`;
 * the address suffix, and the host: priors estimated by grouped aggregation of the languages that the texts alone point
   to, smoothed hierarchically: all rows -> suffix -> host, each level worth `weight` rows of the one above. A row's own
@@ -35,8 +36,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 from veldtext.llm.common import materialize
 from veldtext.llm.pretokens import sliced
 
-#: Hashed trigrams of a model; languages, at most (those with the most texts); words remembered by a worker.
-BUCKETS, LANGUAGES, MOST_WORDS = 1 << 15, 64, 300_000
+#: Hashed trigrams of a model; languages whose counts are held at once; words remembered by a worker, and the numbers
+#: remembered for them.
+BUCKETS, SLICE, MOST_WORDS, MOST_NUMBERS = 1 << 15, 32, 300_000, 20_000_000
 NONE = "und"
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _TAGS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
@@ -59,8 +61,16 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         pending: dict[str, Counter] = {}
 
-        def settle() -> None:
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, total in sums.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
+            sums.clear()
+
+        def settle() -> Iterator[pa.RecordBatch]:
             for lang, words in pending.items():
+                if lang not in sums and len(sums) >= 2 * SLICE:
+                    yield from sent()
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                 pairs = [(b, n) for w, n in words.items() for b in buckets(w)]
                 if pairs:
@@ -72,11 +82,9 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 pending.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, pending.values())) > MOST_WORDS:
-                settle()
-        settle()
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
+                yield from settle()
+        yield from settle()
+        yield from sent()
 
     return rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
@@ -86,17 +94,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(text_col).alias("text"), F.lower(F.col(lang_col)).alias("lang")
     )
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r.lang for r in names)
-    counts = np.zeros((len(names), BUCKETS))
-    at = {name: k for k, name in enumerate(names)}
-    for r in trigram_counts(known.where(F.col("lang").isin(names))).collect():  # LANGUAGES * BUCKETS rows at most
-        counts[at[r.lang], r.bucket] = r.n
-    everywhere = counts.sum(axis=0) + 1
+    names = sorted(r.lang for r in known.select("lang").distinct().collect())
+    model = np.full((len(names) + 1, BUCKETS), np.log(1 / BUCKETS), np.float32)
+    if not names:
+        return names, model
+    table = materialize(trigram_counts(known))
+    everywhere = np.ones(BUCKETS)
+    for r in table.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        everywhere[r.bucket] += r.n
     prior = everywhere / everywhere.sum()
-    smooth = counts + 0.5 * BUCKETS * prior
-    model = np.log(np.vstack([smooth / smooth.sum(axis=1, keepdims=True), np.full((1, BUCKETS), 1 / BUCKETS)]))
-    return names, model.astype(np.float32)
+    for k in range(0, len(names), SLICE):
+        part = names[k : k + SLICE]
+        counts = np.zeros((len(part), BUCKETS))
+        at = {name: i for i, name in enumerate(part)}
+        for r in table.where(F.col("lang").isin(part)).collect():  # SLICE * BUCKETS rows at most
+            counts[at[r.lang], r.bucket] = r.n
+        smooth = counts + 0.5 * BUCKETS * prior
+        model[k : k + len(part)] = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+    return names, model
 
 
 def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
@@ -109,12 +124,13 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, known = shipped.value, {}, np.empty((1024, model_rows), np.float32)
+        most = min(MOST_WORDS, MOST_NUMBERS // model_rows)
         for batch in batches:
             found = []
             for texts in sliced([t or "" for t in batch.column("text").to_pylist()]):
                 split = [words_of(t) for t in texts]
                 new = set().union(*split).difference(seen)
-                if len(seen) + len(new) > MOST_WORDS:
+                if len(seen) + len(new) > most:
                     seen.clear()
                     new = set().union(*split)
                 need = len(seen) + len(new)
@@ -137,8 +153,13 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, rows.select(*names).schema.add("ll", ArrayType(DoubleType())))
 
 
-def _counts(n_langs: int, vote: Column) -> list[Column]:
-    return [F.count_if(vote == k).cast("double").alias(f"n{k}") for k in range(n_langs)]
+def _by_language(n_langs: int, counts: Column) -> Column:
+    """The counts of all languages in order, of an array of (vote, n)."""
+
+    def of(k: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, x: a + F.when(x["vote"] == k, x["n"]).otherwise(0.0))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n_langs - 1)), of)
 
 
 def identify(
@@ -167,43 +188,46 @@ def identify(
     scored = scored.withColumn("vote", F.when(F.col("ll").isNotNull(), best))
     scored = scored.withColumn("suffix key", F.coalesce("suffix", F.lit(""))).withColumn("host key", F.coalesce("host", F.lit("")))
     scored = materialize(scored)
-    by_host = materialize(scored.groupBy("suffix key", "host key").agg(*_counts(n, F.col("vote"))))
-    by_suffix = by_host.groupBy("suffix key").agg(*[F.sum(f"n{k}").alias(f"s{k}") for k in range(n)])
-    total = by_host.agg(*[F.sum(f"n{k}") for k in range(n)]).first()
-    total = np.array([x or 0.0 for x in total]) + 1.0
-    overall = [float(x) for x in total / total.sum()]
+    votes = materialize(scored.groupBy("suffix key", "host key", "vote").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    total = np.ones(n)
+    for r in votes.where("vote is not null").groupBy("vote").agg(F.sum("n").alias("n")).collect():
+        total[r.vote] += r.n
+    overall = F.array(*[F.lit(float(x)) for x in total / total.sum()])
     salts = 16  # a host with a third of all rows is split among tasks; the small table of hosts is repeated for it
-    hosts = by_host.join(by_suffix, "suffix key").select(
+    entries = F.collect_list(F.struct("vote", "n"))
+    by_suffix = votes.groupBy("suffix key", "vote").agg(F.sum("n").alias("n")).groupBy("suffix key").agg(entries.alias("suffix_n"))
+    hosts = votes.groupBy("suffix key", "host key").agg(entries.alias("host_n")).join(by_suffix, "suffix key").select(
         "suffix key",
         "host key",
-        F.array(*[f"n{k}" for k in range(n)]).alias("host_n"),
-        F.array(*[f"s{k}" for k in range(n)]).alias("suffix_n"),
+        _by_language(n, F.col("host_n")).alias("host_n"),
+        _by_language(n, F.col("suffix_n")).alias("suffix_n"),
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
     )
     joined = scored.withColumn("salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).join(
         hosts, ["suffix key", "host key", "salt"], "left"
     )
-    own = [F.when(F.col("vote") == k, 1.0).otherwise(0.0) for k in range(n)]
-    suffix_n = [F.get("suffix_n", F.lit(k)) - own[k] for k in range(n)]
-    host_n = [F.get("host_n", F.lit(k)) - own[k] for k in range(n)]
-    known = sum(own[1:], own[0])
-    n_suffix = F.aggregate("suffix_n", F.lit(0.0), lambda a, x: a + x) - known
-    n_host = F.aggregate("host_n", F.lit(0.0), lambda a, x: a + x) - known
-    p_suffix = [(suffix_n[k] + weight * overall[k]) / (n_suffix + weight) for k in range(n)]
-    p_suffix = [F.when(F.col("suffix").isNull(), overall[k]).otherwise(p) for k, p in enumerate(p_suffix)]
-    p_host = [F.when(F.col("host").isNull(), p).otherwise((host_n[k] + weight * p) / (n_host + weight)) for k, p in enumerate(p_suffix)]
-    declared = F.lower("declared")
-    said = declared.isin(languages)
-    logs = []
-    for k, name in enumerate(languages):
-        claim = F.when(said & (declared == name), float(np.log(1 - wrong))).when(said, float(np.log(wrong / max(1, n - 1)))).otherwise(0.0)
-        text = F.coalesce(F.get("ll", F.lit(k)), F.lit(0.0)) * temper
-        logs.append(F.log(p_host[k] * (1 - none_share)) + claim + text)
+    voted = F.when(F.col("vote").isNotNull(), 1.0).otherwise(0.0)
+    for level in ("suffix", "host"):
+        joined = joined.withColumn(f"{level} sum", F.aggregate(f"{level}_n", F.lit(0.0), lambda a, x: a + x) - voted)
+    names = F.array(*[F.lit(x) for x in [*languages, NONE]])
+    place = F.array_position(F.slice(names, 1, n), F.lower("declared")).cast("int") - 1
+    joined = joined.withColumn("said", F.when(place >= 0, place))
+    said = F.col("said").isNotNull()
+
+    def evidence(k: Column) -> Column:
+        own = F.when(F.col("vote") == k, 1.0).otherwise(0.0)
+        p_suffix = (F.get("suffix_n", k) - own + weight * F.get(overall, k)) / (F.col("suffix sum") + weight)
+        p_suffix = F.when(F.col("suffix").isNull(), F.get(overall, k)).otherwise(p_suffix)
+        p_host = (F.get("host_n", k) - own + weight * p_suffix) / (F.col("host sum") + weight)
+        p_host = F.when(F.col("host").isNull(), p_suffix).otherwise(p_host)
+        claim = F.when(F.col("said") == k, float(np.log(1 - wrong))).when(said, float(np.log(wrong / max(1, n - 1)))).otherwise(0.0)
+        return F.log(p_host * (1 - none_share)) + claim + F.coalesce(F.get("ll", k), F.lit(0.0)) * temper
+
     none = float(np.log(none_share)) + F.when(said, float(np.log(1 / n))).otherwise(0.0)
-    logs.append(none + F.coalesce(F.get("ll", F.lit(n)), F.lit(0.0)) * temper)
-    out = joined.withColumn("logs", F.array(*logs)).withColumn("top", F.array_max("logs"))
+    none = none + F.coalesce(F.get("ll", F.lit(n)), F.lit(0.0)) * temper
+    logs = F.concat(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), evidence), F.array(none))
+    out = joined.withColumn("logs", logs).withColumn("top", F.array_max("logs"))
     out = out.withColumn("probability", 1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    names = F.array(*[F.lit(x) for x in [*languages, NONE]])
     out = out.withColumn("lang", F.get(names, F.array_position("logs", F.col("top")).cast("int") - 1))
     return out.select(
         *keys,
