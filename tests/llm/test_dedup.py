@@ -90,6 +90,24 @@ def test_null_id_in_near(spark):
     assert {r.doc_id: r.component_id for r in got} == {None: None, 3: 3}
 
 
+def test_near_survivors_without_ids(spark, odd_pairs):
+    """Rows without an id link like others, give way to an id, and stay where nothing is near."""
+    base, other, lone = prose(501, 100, 3000), prose(502, 100, 3000), prose(503, 100, 3000)
+    pairs = [(7, base), (None, near(base, 1, 1)), (None, other), (None, near(other, 2, 1)), (None, lone), (None, None), (None, "")]
+    pairs += [(9, near(lone, 3, 40)), (None, lone)]
+    docs = table(spark, pairs)
+    out = near_dedup.survivors(docs)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    pair = {other, near(other, 2, 1)}
+    assert sum(t in pair for _, t in got) == 1
+    assert sorted((i, t) for i, t in got if i is not None) == [(7, base), (9, pairs[7][1])]
+    assert sorted(str(t) for i, t in got if i is None and t not in pair) == sorted(["", "None", lone, lone])
+    rows = near_dedup.near_components(docs).collect()
+    assert len(rows) == len(pairs) and sorted(r.component_id for r in rows if r.component_id is not None) == [7, 7, 9]
+    assert sum(r.kept for r in rows) == len(got)
+
+
 def suffix_brute(pairs, window=50):
     order = lambda i: i if i is not None else 2**63 - 1
     first = {}

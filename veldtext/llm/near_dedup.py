@@ -18,7 +18,11 @@ The shingles are compared as 64-bit hashes; equal sets are recognised by 128 bit
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer than five words is one
 shingle; repeated ids are one document (the union of their sets is not taken: each row links by its own set, and the
-rows share a component through their id); an empty table gives an empty result; other columns are ignored.
+rows share a component through their id); a row without an id is a document told apart by its text, which links like any
+other and gives way to a document with an id; in a component of such documents only, component_id is null and the one
+with the least text hash is kept, with all its rows; an empty table gives an empty result; other columns are ignored.
+
+Rows are told apart by a 64-bit hash of their text while they are linked, so that ids play no part in it.
 """
 
 from __future__ import annotations
@@ -103,12 +107,22 @@ class Shingler:
         return keys.reshape(-1).view(np.int64).tolist(), *halves.view(np.int64).tolist(), symbols.tobytes()
 
 
+def _node(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def _wanted(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
+    """The text of each of the nodes (doc_id)."""
+    texts = docs.select(_node(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """One row per document: doc_id, n (size of its set), h1 and h2 (identity of the set), sig, keys; null if empty."""
+    """One row per document: doc_id, node, n (size of its set), h1 and h2 (identity of the set), sig, keys; null if empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = held(Shingler, words)
@@ -121,18 +135,19 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(texts)),
+                        batch.column(2).slice(at, len(texts)),
                         pa.array([len(own) for own in sets], pa.int64()),
                         pa.array(h1, pa.int64()),
                         pa.array(h2, pa.int64()),
                         pa.array(sig, pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n", "h1", "h2", "sig", "keys"],
+                    names=["doc_id", "node", "n", "h1", "h2", "sig", "keys"],
                 )
                 at += len(texts)
 
-    schema = "doc_id long, n long, h1 long, h2 long, sig binary, keys array<long>"
-    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
+    schema = "doc_id long, node long, n long, h1 long, h2 long, sig binary, keys array<long>"
+    return _texts(docs, id_col, text_col).withColumn("node", _node(F.col("text"))).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
@@ -172,11 +187,10 @@ def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets have the similarity."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = _texts(docs, id_col, text_col).join(wanted, "doc_id", "left_semi")
-    sets = materialize(shingle_sets(texts, words=words))
+    sets = materialize(shingle_sets(_wanted(docs, text_col, wanted), words=words))
     one = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
 
@@ -365,15 +379,14 @@ def _rest(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, "a long, b long").distinct()
 
 
-def _joined(meets: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+def _joined(meets: DataFrame, roots: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """Of (a, b) as :func:`_rest` gives them, those where a member of b has the similarity to a."""
     comps = materialize(
         roots.join(meets.select(F.col("b").alias("comp")).distinct(), "comp", "left_semi")
     )
     counts = materialize(comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")))
     wanted = meets.select(F.col("a").alias("doc_id")).unionByName(comps.select("doc_id")).distinct()
-    texts = _texts(docs, id_col, text_col).join(wanted, "doc_id", "left_semi")
-    sets = materialize(shingle_sets(texts, words=words))
+    sets = materialize(shingle_sets(_wanted(docs, text_col, wanted), words=words))
     members = comps.join(counts, "comp").select("comp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("j"), F.lit(0).alias("side"), "doc_id")
     guests = meets.join(counts, meets["b"] == counts["comp"]).select(
         "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"), F.col("a").alias("doc_id")
@@ -408,10 +421,17 @@ def near_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, hub_rounds: int = 3
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    found = _linked(docs, id_col, text_col, words, percent, hub_rounds)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, hub_rounds: int = 3) -> DataFrame:
+    """What :func:`near_components` returns, and the node of each row. While nodes are linked, they are named doc_id."""
     every = materialize(signatures(docs, id_col, text_col, words))
     real = every.where("n > 0")
-    same = materialize(real.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
-    reps = materialize(real.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    same = materialize(real.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least_id")))
+    own = real.select(F.col("node").alias("doc_id"), "n", "h1", "h2", "sig", "keys")
+    reps = materialize(own.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     keyed = reps.select("doc_id", F.posexplode("keys").alias("at", "key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"))
     buckets = materialize(keyed.join(shared, "key", "left_semi"))
@@ -420,7 +440,7 @@ def near_components(
     for k in range(hub_rounds):
         rank = F.lit(0) if k == 0 else F.xxhash64("key", "doc_id", F.lit(k))
         pairs = materialize(_screened(_hub_pairs(rows, rank), reps))
-        found = materialize(_confirmed(pairs, docs, id_col, text_col, words, percent))
+        found = materialize(_confirmed(pairs, docs, text_col, words, percent))
         n_pairs, n_found = pairs.count(), found.count()
         if n_found:
             roots = _relabelled(roots, found)
@@ -429,19 +449,27 @@ def near_components(
             break  # what is left finds no hub any more
     meets = materialize(_rest(rows, reps))
     if not meets.isEmpty():
-        found = materialize(_joined(meets, roots, docs, id_col, text_col, words, percent))
+        found = materialize(_joined(meets, roots, docs, text_col, words, percent))
         if not found.isEmpty():
             roots = _relabelled(roots, found)
     root_of = roots.select(F.col("doc_id").alias("rep"), "comp")
-    classes = materialize(same.join(root_of, "rep", "left").select("h1", "h2", "n", F.coalesce("comp", "rep").alias("comp")))
-    out = every.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    component = F.coalesce("comp", "doc_id")
+    classes = materialize(same.join(root_of, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+    named = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("rep").alias("least_node"))
+    classes = materialize(classes.join(named, "comp").select("h1", "h2", "n", "component_id", "least_node"))
+    out = every.select("doc_id", "node", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    alone = component.isNull() & ((F.col("n") == 0) | (F.col("node") == F.col("least_node")))
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
-    )
+        "doc_id", "node", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.when(F.col("doc_id").isNull(), alone).otherwise(F.col("doc_id") == component).alias("kept"),
+    )
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of docs that stay, one document of each component."""
-    kept = near_components(docs, id_col, text_col, words, percent).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that stay, one document of each component: a row goes by its id, or by its text if it has none."""
+    kept = _linked(docs, id_col, text_col, words, percent).where("kept")
+    kept = kept.select(F.col("doc_id").alias("kept id"), F.when(F.col("doc_id").isNull(), F.col("node")).alias("kept node")).distinct()
+    own, node = F.col(id_col).cast("long"), _node(F.col(text_col))
+    rows = docs.withColumn("own id", own).withColumn("own node", F.when(own.isNull(), node))
+    match = F.col("own id").eqNullSafe(F.col("kept id")) & F.col("own node").eqNullSafe(F.col("kept node"))
+    return rows.join(kept, match, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
