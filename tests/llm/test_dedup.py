@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm_tables import near, prose, table
+from pyspark.sql import functions as F
 
 from veldtext.llm import bwt, exact_dedup, near_dedup, suffix_dedup
 
@@ -127,12 +128,14 @@ def suffix_brute(pairs, window=50):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("hot", "block", "merge"), [(10_000, 600_000, 500_000), (2, 3_000, 400), (10_000, 1, 2_000)])
-def test_suffix(spark, odd_pairs, monkeypatch, hot, block, merge):
+@pytest.mark.parametrize(("hot", "block", "shard"), [(50_000, 600_000, 1 << 18), (2, 3_000, 400), (50_000, 1, 2_000)])
+def test_suffix(spark, odd_pairs, monkeypatch, hot, block, shard):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
-    monkeypatch.setattr(suffix_dedup, "MERGE_SYMBOLS", merge)
+    monkeypatch.setattr(suffix_dedup, "STEP", 5_000)
+    monkeypatch.setattr(bwt, "SHARD", shard)
     pairs = [(i, t) for i, t in odd_pairs if i != 97]
+    pairs += [(110, odd_pairs[0][1] + " other"), (110, odd_pairs[1][1] + " text"), (None, "x" * 70), (None, "x" * 70), (111, "x" * 300), (112, "xyz" * 90)]
     got = [tuple(r) for r in suffix_dedup.remove_repeats(table(spark, pairs)).collect()]
     assert sorted(got, key=str) == suffix_brute(pairs)
 
@@ -146,20 +149,41 @@ def test_suffix_survivors(spark, odd_pairs):
     assert 90 not in rows and 81 not in rows and prose(99, 60, 3000) not in rows[62].text
 
 
-@pytest.mark.parametrize("shard", [60, 1 << 16])
-def test_merged_transforms(monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "letters"), [(50, 2), (1 << 18, 2), (300, 256), (7, 1)])
+def test_merged_transforms(monkeypatch, shard, letters):
+    """Against a dictionary of all windows, in strings that share some anchors."""
     monkeypatch.setattr(bwt, "SHARD", shard)
     rng = np.random.default_rng(5)
-    for trial in range(40):
-        letters = [b"ab", bytes(range(256)), b"a", b"\0\1"][trial % 4]
-        texts = list({bytes(rng.choice(list(letters), rng.integers(1, 30)).astype(np.uint8)) * int(rng.integers(1, 3)) for _ in range(25)})
-        owners, depth = rng.integers(0, 9, len(texts)), int(rng.integers(1, 6))
+    window, anchor = 14, 8
+    for _ in range(25):
+        anchors = [rng.integers(0, letters, anchor, np.uint8).tobytes() for _ in range(3)]
+        strings, ahead, windows = [], [], []
+        for _ in range(60):
+            a = int(rng.integers(0, window - anchor + 1))
+            m = int(rng.integers(1, a + 2))
+            before, behind = rng.integers(0, letters, a, np.uint8), rng.integers(0, letters, m + window - anchor - 1 - a, np.uint8)
+            strings.append(before.tobytes() + anchors[rng.integers(3)] + behind.tobytes())
+            ahead.append(a)
+            windows.append(m)
+        owners, sizes = rng.integers(0, 6, 60), np.array([len(x) for x in strings])
         least = {}
-        for t, o in zip(texts, owners, strict=True):
-            for p in range(len(t) - depth + 1):
-                least[t[p : p + depth]] = min(least.get(t[p : p + depth], 99), o)
-        want = [[least[t[p : p + depth]] for p in range(len(t) - depth + 1)] for t in texts]
-        assert [x.tolist() for x in bwt.least_owner(texts, owners, depth)] == want
+        for x, a, m, o in zip(strings, ahead, windows, owners.tolist(), strict=True):
+            for i in range(m):
+                least[a - i, x[i : i + window]] = min(least.get((a - i, x[i : i + window]), 99), o)
+        rows = zip(strings, ahead, windows, owners.tolist(), strict=True)
+        want = [sum((least[a - i, x[i : i + window]] < o) << i for i in range(m)) for x, a, m, o in rows]
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        got = bwt.repeats(data, np.cumsum(sizes) - sizes, np.array(ahead), np.array(windows), owners, window, anchor)
+        assert got.tolist() == want
+
+
+def test_suffix_survivors_with_clashing_names(spark, odd_pairs):
+    names = ["row key", "row", "left", "left_text", "whole", "id", "block", "data"]
+    docs = table(spark, odd_pairs[:40]).drop("row", "block").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    out = suffix_dedup.survivors(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
 
 
 def test_empty_tables(spark):
@@ -173,7 +197,7 @@ def test_windows_cover_counter():
     """Equal windows have equal anchors wherever they stand."""
     text = prose(3, 60).encode()
     data = np.frombuffer(b"q" * 37 + text + b"w" * 11 + text, np.uint8)
-    value = suffix_dedup.anchors(data)
+    value = suffix_dedup.anchors(suffix_dedup.grams(data))
     seen = {}
     for p in range(len(value)):
         seen.setdefault(data[p : p + 50].tobytes(), set()).add(int(value[p]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +22,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one that the cluster names in spark.checkpoint.dir. Only where that is unset (tests on one machine)
-    a temporary folder is set in its place.
+    It is the one that the cluster names in spark.checkpoint.dir. Only where that is unset and the master is local
+    (tests on one machine) a temporary folder is set in its place; a cluster without one is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         found = "file://" + tempfile.mkdtemp(prefix="veldtext-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -64,14 +67,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def trimmed(batches: Iterator) -> Iterator:
-    """batches, giving back to the system after each what its making has left free, as idle workers keep their memory."""
+def trim() -> None:
+    """Give back to the system what is free, as idle workers keep their memory."""
     libc = ctypes.CDLL(None)
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(batches: Iterator) -> Iterator:
+    """batches, with :func:`trim` after each."""
     for batch in batches:
         yield batch
-        pa.default_memory_pool().release_unused()
-        if hasattr(libc, "malloc_trim"):
-            libc.malloc_trim(0)
+        trim()
 
 
 def squeezed(text: Column) -> Column:

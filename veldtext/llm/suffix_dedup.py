@@ -1,47 +1,51 @@
 """Suffix-array dedup: removes each byte under a 50-byte string that also starts in a document with a smaller id.
 
-1. Blocks. Documents are written in blocks of a quarter of a megabyte, or of one larger document, compressed, one row each.
+1. Blocks. Documents are written in blocks of a megabyte, or of one larger document, compressed, one row each.
 2. Anchors. The anchor of a 50-byte window is the least hash among its 24-byte strings. Equal windows have equal
    anchors, so a window whose anchor occurs once in the whole table is unique. Each block sends its distinct anchors,
    packed by ranges of the hash; the ranges return those that occur twice or more.
-3. Segments. A maximal run of windows with one shared anchor is a segment: its windows and the 49 bytes after them.
-   Within a block, of equal segments only that of the smallest id goes on, the others being covered already. An anchor
-   with very many different segments would gather them in one task; its windows go alone, dealt by their own hash.
-4. Merge. For each range of anchors, equal segments are folded again. The segments left of an anchor with more than one
-   form shards; the shards' Burrows-Wheeler transforms are merged by interleave refinement (see bwt.py), whose blocks of
-   places with 50 equal bytes are the repeated strings, each with the smallest id that holds it.
-5. Removal. Each block gets its covered windows and removes their bytes.
+3. Segments. A maximal run of windows with one shared anchor at one place is a segment: its windows and the 49 bytes
+   after them. It goes to the range of its anchor.
+4. Merge. The segments of a range form shards, and the shards' Burrows-Wheeler transforms are merged by interleave
+   refinement (see bwt.py). The repeated intervals of the merged order are the equal windows, each with the smallest id
+   that holds it. Every segment takes part, equal ones as well as different ones; nothing is decided beside the merge
+   but the windows of hot anchors.
+5. Hot anchors. An anchor with more than HOT occurrences would gather them in one task. Its windows go one by one, and
+   the smallest id of each is found by an aggregation that folds them before they are sent.
+6. Removal. Each block gets its covered windows and removes their bytes.
 
 Defined results: a null text counts as empty; matches never cross documents and a repeat inside one document alone
 removes nothing; a null id counts as the largest id; rows that repeat an id are one document with regard to its
 order, each with its own text; an empty table gives an empty result; other columns are ignored, and
-:func:`survivors` returns them as they were. :func:`survivors` removes a character if all its bytes are covered.
+:func:`survivors` returns them as they were, whatever their names. :func:`survivors` removes a character if all its
+bytes are covered. A task's memory follows the size of a block, thus that of the largest document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldtext.llm.bwt import least_owner
-from veldtext.llm.common import discard, materialize, release, trimmed
+from veldtext.llm.bwt import repeats
+from veldtext.llm.common import discard, materialize, release, trim, trimmed
 
-#: Bytes of a repeated string, and of the strings whose least hash is a window's anchor.
+#: Bytes of a repeated string, and of the strings whose least hash is a window's anchor (a multiple of 8).
 WINDOW, GRAM = 50, 24
-#: Windows of a segment, at most.
-LONGEST = 64
+#: 24-byte strings of a window.
+SPAN = WINDOW - GRAM + 1
 #: Occurrences beyond which an anchor's windows go alone.
-HOT = 10_000
-#: Bytes of texts in a block, anchors in a range, and symbols merged at a time.
-BLOCK_BYTES, RANGE_BYTES, MERGE_SYMBOLS = 250_000, 6_000_000, 300_000
+HOT = 50_000
+#: Bytes of texts in a block, and of those whose anchors are in a range on average; windows hashed at a time.
+BLOCK_BYTES, RANGE_BYTES, STEP = 1_000_000, 6_000_000, 1 << 18
 #: Of zstandard, for what is written and shuffled.
-LEVEL = 6
+LEVEL = 3
 _MAX_ID = 2**63 - 1
 _U = np.uint64
 
@@ -58,8 +62,8 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).copy()
 
 
-def anchors(data: np.ndarray) -> np.ndarray:
-    """The anchor of each window of data."""
+def grams(data: np.ndarray) -> np.ndarray:
+    """The hash of the 24-byte string at each place of data."""
     n = len(data) - GRAM + 1
     w = _words(data)
     h = w[:n] * _U(0x9E3779B97F4A7C15)
@@ -68,76 +72,107 @@ def anchors(data: np.ndarray) -> np.ndarray:
     h *= _U(0xC2B2AE3D27D4EB4F)
     h ^= h >> _U(30)
     h += w[16 : n + 16]
-    h = _mixed(h * _U(0x165667B19E3779F9))
-    span, width = WINDOW - GRAM + 1, 1
-    while width * 2 <= span:
+    return _mixed(h * _U(0x165667B19E3779F9))
+
+
+def anchors(h: np.ndarray) -> np.ndarray:
+    """The anchor of each window, of the hashes of all 24-byte strings."""
+    windows, width = len(h) - SPAN + 1, 1
+    while width * 2 <= SPAN:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
-    return np.minimum(h[: len(data) - WINDOW + 1], h[span - width :])
-
-
-def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents that lie one after the other and end at ends: each segment's anchor, first window and windows."""
-    parts, step, total = [], 1 << 18, len(data)
-    for at in range(0, max(0, total - WINDOW + 1), step):
-        stop = min(at + step + WINDOW - 1, total)
-        value = anchors(data[at:stop])
-        parts.append(value)
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    value = np.concatenate(parts)
-    valid = np.ones(len(value) + WINDOW, bool)
-    for end in ends.tolist():
-        valid[max(0, end - WINDOW + 1) : end] = False
-    valid = valid[: len(value)]
-    change = np.r_[True, (value[1:] != value[:-1]) | ~valid[:-1]]
-    first = np.flatnonzero(change & valid)
-    bounds = np.append(np.flatnonzero(change | ~valid), len(value))
-    n = bounds[np.searchsorted(bounds, first, side="right")] - first
-    if len(n) and n.max() > LONGEST:
-        times = -(-n // LONGEST)
-        number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        first, n = np.repeat(first, times) + number * LONGEST, np.repeat(n, times) - number * LONGEST
-        n = np.minimum(n, LONGEST)
-    return value[first], first, n
+    return np.minimum(h[:windows], h[SPAN - width :])
+
+
+def runs(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of documents that lie one after the other and end at ends, a stretch at a time: the anchor, first window and
+    windows of each run of windows with one anchor, the hashes of the stretch and its begin. Places count from there."""
+    total = len(data)
+    for at in range(0, max(0, total - WINDOW + 1), STEP):
+        stop = min(at + STEP + WINDOW - 1, total)
+        h = grams(data[at:stop])
+        value = anchors(h)
+        valid = np.ones(len(value), bool)
+        for end in ends[np.searchsorted(ends, at, side="right") : np.searchsorted(ends, stop)].tolist():
+            valid[max(0, end - at - WINDOW + 1) : end - at] = False
+        change = np.ones(len(value), bool)
+        change[1:] = (value[1:] != value[:-1]) | (valid[1:] != valid[:-1])
+        first = np.flatnonzero(change)
+        n = np.diff(first, append=len(value))
+        keep = valid[first]
+        first, n = first[keep], n[keep]
+        yield value[first], first, n, h, at
+
+
+def segments(value: np.ndarray, first: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs cut where the place of the anchor changes: the anchor, first window, windows, and bytes before the anchor.
+
+    A window's anchor is the first of its strings with that hash; it changes its place in a run only where a text
+    repeats itself within a window's length.
+    """
+    ahead = _ahead(value, first, h)
+    long = n > ahead + 1
+    if not long.any():
+        return value, first, n, ahead
+    more = n[long] - ahead[long] - 1
+    number = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    place = np.repeat(first[long] + ahead[long] + 1, more) + number
+    own = np.repeat(value[long], more)
+    before = _ahead(own, place, h)
+    anchor = place + before
+    cut = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (place[1:] != place[:-1] + 1)])
+    value, first = np.r_[value, own[cut]], np.r_[first, place[cut]]
+    n, ahead = np.r_[np.minimum(n, ahead + 1), np.diff(cut, append=len(place))], np.r_[ahead, before[cut]]
+    order = np.argsort(first, kind="stable")
+    return value[order], first[order], n[order], ahead[order]
+
+
+def _ahead(value: np.ndarray, first: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How far behind its begin each window's anchor is."""
+    out = np.full(len(first), -1)
+    open_ = np.arange(len(first))
+    for k in range(SPAN):
+        hit = h[first[open_] + k] == value[open_]
+        out[open_[hit]] = k
+        open_ = open_[~hit]
+    return out
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """block, n_bytes, ids, rows and ends as packed numbers, and the texts' bytes, compressed."""
 
-    def pack(part: list[tuple[int, int, bytes]], block: int) -> tuple:
+    def pack(part: list[tuple[int, int, bytes]], block: int) -> pa.RecordBatch:
         part.sort(key=lambda x: (x[0], x[1]))
         ids, rows, texts = zip(*part, strict=True)
         ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
-        return block, int(ends[-1]), np.array(ids, np.int64).tobytes(), np.array(rows, np.int64).tobytes(), ends.tobytes(), _squeezed(b"".join(texts))
+        packed = [np.array(ids, np.int64).tobytes(), np.array(rows, np.int64).tobytes(), ends.tobytes(), _squeezed(b"".join(texts))]
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(ends[-1])]), *(pa.array([p], pa.binary()) for p in packed)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names = ["block", "n_bytes", "ids", "rows", "ends", "data"]
         block, part, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(3)]
-            for row in zip(*columns, strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part and size + len(row[2]) > BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, pack(part, block), strict=True))], schema=schema)
+                    yield pack(part, block)
                     block, part, size = block + 1, [], 0
                 part.append(row)
                 size += len(row[2])
         if part:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, pack(part, block), strict=True))], schema=schema)
+            yield pack(part, block)
 
-    schema = pa.schema(
-        [("block", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.binary()), ("rows", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())]
-    )
+    names = ["block", "n_bytes", "ids", "rows", "ends", "data"]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX_ID)).alias("id"), _row_key(id_col, text_col).alias("row"), text.cast("binary").alias("data")
-    )
+    rows = docs.select(_order_id(id_col).alias("id"), _row_key(id_col, text_col).alias("row"), text.cast("binary").alias("data"))
     return rows.mapInArrow(lambda batches: trimmed(run(batches)), "block long, n_bytes long, ids binary, rows binary, ends binary, data binary")
 
 
-def _row_key(id_col: str, text_col: str):
+def _order_id(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_MAX_ID))
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
     """Tells rows apart that repeat an id with another text."""
     return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
 
@@ -173,23 +208,43 @@ def _range_of(value: np.ndarray, ranges: int) -> np.ndarray:
     return ((value >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
 
 
+def _pieces(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, from, to) of each run of equal keys."""
+    cuts = np.flatnonzero(np.diff(sorted_keys, prepend=-1)).tolist()
+    for a, b in itertools.pairwise([*cuts, len(sorted_keys)]):
+        yield int(sorted_keys[a]), a, b
+
+
+def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
+def _rows(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A batch of what work gives for each row (a list of dicts)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            out = work(batch.slice(k, 1).to_pylist()[0])
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+
 def _sent_anchors(blocks: DataFrame, ranges: int) -> DataFrame:
+    schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("value", pa.binary()), ("times", pa.binary())])
+
+    def one(row: dict) -> list[dict]:
+        value = np.concatenate([_short(v) for v, *_ in runs(*_open(row["ends"], row["data"]))] or [np.empty(0, np.uint64)])
+        value, counts = np.unique(value, return_counts=True)
+        counts = np.minimum(counts, 255).astype(np.uint8)
+        return [
+            {"range": k, "block": row["block"], "value": _packed(value[a:b]), "times": counts[a:b].tobytes()}
+            for k, a, b in _pieces(_range_of(value << _U(16), ranges))
+        ]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                value, counts = np.unique(_short(segments(*_open(row["ends"], row["data"]))[0]), return_counts=True)
-                cuts = np.searchsorted(_range_of(value << _U(16), ranges), np.arange(ranges + 1))
-                counts = np.minimum(counts, 255).astype(np.uint8)
-                out = [
-                    {"range": k, "block": row["block"], "value": _packed(value[a:b]), "times": counts[a:b].tobytes()}
-                    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-                    if a < b
-                ]
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+        return trimmed(_rows(batches, one, schema))
 
-    schema = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("value", pa.binary()), ("times", pa.binary())])
     return blocks.select("block", "ends", "data").mapInArrow(run, "range int, block long, value binary, times binary")
 
 
@@ -221,147 +276,112 @@ def _shared_anchors(sent: DataFrame) -> DataFrame:
     return found.groupBy("block").agg(F.collect_list("value").alias("value"), F.collect_list("hot").alias("hot"))
 
 
-#: A row holds covered windows (range -1) or segments. covered: rows, first windows, windows. segments: the anchor, text
-#: length, id, row and place of each, and the texts. Both are compressed.
+def _shared_runs(row: dict, hot: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """A block's runs whose anchors are shared, either those of hot anchors or the others; places count in the block."""
+    data, ends = _open(row["ends"], row["data"])
+    wanted, often = (np.sort(_unpacked(b"".join(row[c]))) for c in ("value", "hot"))
+    if hot and not len(often):
+        return
+    for value, first, n, h, at in runs(data, ends):
+        short = _short(value)
+        keep = _isin(often, short) if hot else _isin(wanted, short) & ~_isin(often, short)
+        if keep.any():
+            yield value[keep], first[keep], n[keep], h, at, data, ends
+
+
+#: Segments of a range and a block: place, windows, bytes before the anchor, id; and their texts. Both are compressed.
 _MOVED = "range int, block long, numbers binary, texts binary"
 _MOVED_ARROW = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("numbers", pa.binary()), ("texts", pa.binary())])
 
 
+def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The bytes of all (start, length), one after the other."""
+    ends = np.cumsum(length)
+    step = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(step):
+        step[0] = start[0]
+        step[ends[:-1]] = start[1:] - (start[:-1] + length[:-1] - 1)
+    return data[np.cumsum(step)]
+
+
 def _moved(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
-    """Each block's covered windows and the segments that must meet those of other blocks."""
+    """Each block's segments by ranges."""
 
     def one(row: dict) -> list[dict]:
-        data, ends = _open(row["ends"], row["data"])
-        ids, rows = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64)
-        value, first, n = segments(data, ends)
-        wanted, hot = np.sort(_unpacked(b"".join(row["value"]))), np.sort(_unpacked(b"".join(row["hot"])))
-        if not len(wanted):
+        ids, found = np.frombuffer(row["ids"], np.int64), []
+        for value, first, n, h, at, data, ends in _shared_runs(row, hot=False):
+            value, first, n, ahead = segments(value, first, n, h)
+            found.append((value, first + at, n, ahead))
+        if not found:
             return []
-        short = _short(value)
-        keep = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
-        value, first, n = value[keep], first[keep], n[keep]
-        raw = data.tobytes()
-        if len(hot):
-            short = _short(value)
-            alone = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short
-            if alone.any():
-                times = n[alone]
-                number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                place = np.repeat(first[alone], times) + number
-                own = [int.from_bytes(hashlib.blake2b(raw[p : p + WINDOW], digest_size=8).digest(), "little") for p in place.tolist()]
-                value = np.concatenate([value[~alone], np.array(own, np.uint64)])
-                first = np.concatenate([first[~alone], place])
-                n = np.concatenate([n[~alone], np.ones(len(place), np.int64)])
-                order = np.argsort(first, kind="stable")
-                value, first, n = value[order], first[order], n[order]
-        doc = np.searchsorted(ends, first, side="right")
-        start_of = np.r_[0, ends[:-1]]
-        place = first - start_of[doc]
-        owner: dict[bytes, int] = {}
-        sent, covered = [], []
-        for k, (p, m, i) in enumerate(zip(first.tolist(), n.tolist(), ids[doc].tolist(), strict=True)):
-            if owner.setdefault(raw[p : p + m + WINDOW - 1], i) < i:
-                covered.append(k)
-            else:
-                sent.append(k)
-        out = []
-        if covered:
-            c = np.array(covered)
-            out.append({"range": -1, "block": row["block"], "numbers": _squeezed(np.stack([rows[doc[c]], place[c], n[c]]).tobytes()), "texts": b""})
-        s = np.array(sent, np.int64)
-        where = _range_of(value[s], ranges)
+        value, first, n, ahead = (np.concatenate(x) for x in zip(*found, strict=True))
+        where = _range_of(value, ranges)
         order = np.argsort(where, kind="stable")
-        s, where = s[order], where[order]
-        cuts = np.searchsorted(where, np.arange(ranges + 1))
-        for k in np.unique(where).tolist():
-            c = s[cuts[k] : cuts[k + 1]]
-            numbers = np.stack([value[c].view(np.int64), n[c] + WINDOW - 1, ids[doc[c]], rows[doc[c]], place[c]])
-            texts = b"".join([raw[p : p + m + WINDOW - 1] for p, m in zip(first[c].tolist(), n[c].tolist(), strict=True)])
-            out.append({"range": k, "block": row["block"], "numbers": _squeezed(numbers.tobytes()), "texts": _squeezed(texts)})
+        first, n, ahead = first[order], n[order], ahead[order]
+        own = ids[np.searchsorted(ends, first, side="right")]
+        out = []
+        for k, a, b in _pieces(where[order]):
+            numbers = first[a:b].astype("<u4").tobytes() + n[a:b].astype(np.uint8).tobytes() + ahead[a:b].astype(np.uint8).tobytes() + own[a:b].tobytes()
+            texts = _gathered(data, first[a:b], n[a:b] + WINDOW - 1).tobytes()
+            out.append({"range": k, "block": row["block"], "numbers": _squeezed(numbers), "texts": _squeezed(texts)})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                out = one(batch.slice(k, 1).to_pylist()[0])
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema=_MOVED_ARROW)
+        return trimmed(_rows(batches, one, _MOVED_ARROW))
 
-    return blocks.join(shared, "block").select("block", "ids", "rows", "ends", "data", "value", "hot").mapInArrow(lambda batches: trimmed(run(batches)), _MOVED)
+    return blocks.join(shared, "block").select("block", "ids", "ends", "data", "value", "hot").mapInArrow(run, _MOVED)
 
 
 def _met(moved: DataFrame) -> DataFrame:
-    """The windows that are covered because of another block, or of another segment with the same anchor."""
+    """For each block the segments with windows that a document of smaller id has too: their places and a mask of these
+    windows, packed."""
 
     def run(group: pa.Table) -> pa.Table:
-        blocks, numbers, texts = [], [], []
-        for block, packed, joined in zip(*(group.column(c).to_pylist() for c in ("block", "numbers", "texts")), strict=True):
-            part, joined = np.frombuffer(_loose(packed), np.int64).reshape(5, -1), _loose(joined)
-            ends = np.cumsum(part[1]).tolist()
-            texts += [joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            numbers.append(part)
-            blocks.append(np.full(part.shape[1], block, np.int64))
-        numbers, blocks = np.concatenate(numbers, axis=1), np.concatenate(blocks)
-        value, length, ids, rows, place = numbers
-        least: dict[bytes, int] = {}
-        for text, i in zip(texts, ids.tolist(), strict=True):
-            if least.setdefault(text, i) > i:
-                least[text] = i
-        own_least = np.fromiter((least[t] for t in texts), np.int64, len(texts))
-        windows = length - (WINDOW - 1)
-        behind = ids > own_least
-        found = [(blocks[behind], rows[behind], place[behind], windows[behind])]
-        ahead = np.flatnonzero(~behind)
-        ahead = ahead[np.argsort(value[ahead], kind="stable")]
-        # The distinct segments of the owners, anchor by anchor; an anchor with one of them has nothing to merge.
-        at_of: dict[bytes, int] = {}
-        at = np.fromiter((at_of.setdefault(texts[k], len(at_of)) for k in ahead.tolist()), np.int64, len(ahead))
-        firsts = ahead[np.unique(at, return_index=True)[1]] if len(at) else ahead
-        anchor = value[firsts]
-        cuts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.empty(0, np.int64)
-        ends = np.r_[cuts[1:], len(anchor)][: len(cuts)]
-        result: dict[int, np.ndarray] = {}
-        chosen, size = [], 0
-
-        def merge() -> None:
-            for j, owners in zip(chosen, least_owner([texts[firsts[j]] for j in chosen], ids[firsts[chosen]], WINDOW), strict=True):
-                result[j] = owners
-
-        for a, b in zip(cuts.tolist(), ends.tolist(), strict=True):
-            if b - a < 2:
-                continue
-            more = int(length[firsts[a:b]].sum())
-            if chosen and size + more > MERGE_SYMBOLS:
-                merge()
-                chosen, size = [], 0
-            chosen += range(a, b)
-            size += more
-        if chosen:
-            merge()
-        extra = []
-        for j, k in zip(at.tolist(), ahead.tolist(), strict=True):
-            owners = result.get(j)
-            if owners is None:
-                continue
-            hit = owners < ids[k]
+        first, windows, ahead, ids, texts, ends = [], [], [], [], [], []
+        for packed, joined in zip(*(group.column(c).to_pylist() for c in ("numbers", "texts")), strict=True):
+            packed = _loose(packed)
+            n = len(packed) // 14
+            first.append(np.frombuffer(packed, "<u4", n))
+            windows.append(np.frombuffer(packed, np.uint8, n, 4 * n))
+            ahead.append(np.frombuffer(packed, np.uint8, n, 5 * n))
+            ids.append(np.frombuffer(packed, "<i8", n, 6 * n))
+            texts.append(np.frombuffer(_loose(joined), np.uint8))
+            ends.append(n)
+        lengths = np.concatenate(windows).astype(np.int64)
+        size = lengths + WINDOW - 1
+        mask = repeats(np.concatenate(texts), np.cumsum(size) - size, np.concatenate(ahead).astype(np.int64), lengths, np.concatenate(ids), WINDOW, GRAM)
+        out = {"block": [], "covered": []}
+        for block, place, own in zip(group.column("block").to_pylist(), first, np.split(mask, np.cumsum(ends)[:-1]), strict=True):
+            hit = own > 0
             if hit.any():
-                edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
-                extra += [(blocks[k], rows[k], place[k] + x, y - x) for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        if extra:
-            found.append(tuple(np.array(x, np.int64) for x in zip(*extra, strict=True)))
-        block, row, first, count = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(block, kind="stable")
-        block, packed = block[order], np.stack([row[order], first[order], count[order]])
-        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.empty(0, np.int64)
-        ends = np.r_[cuts[1:], len(block)][: len(cuts)]
-        return pa.table(
-            {
-                "block": pa.array(block[cuts]),
-                "covered": pa.array([_squeezed(np.ascontiguousarray(packed[:, a:b]).tobytes()) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-            }
-        )
-
-    return moved.where("range >= 0").groupBy("range").applyInArrow(run, "block long, covered binary")
+                out["block"].append(block)
+                out["covered"].append(_squeezed(place[hit].tobytes() + own[hit].astype("<u4").tobytes()))
+        trim()
+        return pa.table({"block": pa.array(out["block"], pa.int64()), "covered": pa.array(out["covered"], pa.binary())})
+
+    return moved.groupBy("range").applyInArrow(run, "block long, covered binary")
+
+
+def _hot_windows(blocks: DataFrame, shared: DataFrame) -> DataFrame:
+    """For each block the windows of hot anchors that a document of smaller id has too: their places."""
+    schema = pa.schema([("block", pa.int64()), ("place", pa.int64()), ("id", pa.int64()), ("bytes", pa.binary())])
+
+    def one(row: dict) -> list[dict]:
+        ids, out = np.frombuffer(row["ids"], np.int64), []
+        for _, first, n, _, at, data, ends in _shared_runs(row, hot=True):
+            place = np.repeat(first + at - np.cumsum(n) + n, n) + np.arange(n.sum())
+            own = ids[np.searchsorted(ends, place, side="right")].tolist()
+            out += [{"block": row["block"], "place": p, "id": i, "bytes": data[p : p + WINDOW].tobytes()} for p, i in zip(place.tolist(), own, strict=True)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return trimmed(_rows(batches, one, schema))
+
+    hot = shared.where(F.exists("hot", lambda x: F.octet_length(x) > 0))
+    rows = blocks.join(hot, "block").select("block", "ids", "ends", "data", "value", "hot").mapInArrow(run, "block long, place long, id long, bytes binary")
+    least = rows.groupBy("bytes").agg(F.min("id").alias("least"))
+    # Both sides have exchanges of their own, so that a hot window is split at run time.
+    return rows.join(least, "bytes").where("id > least").select("block", "place")
 
 
 def covered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_texts: bool = False) -> DataFrame:
@@ -372,53 +392,40 @@ def covered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranges = max(48, total // RANGE_BYTES)
     shared = materialize(_shared_anchors(_sent_anchors(blocks, ranges)))
     release(docs.sparkSession)
-    moved = materialize(_moved(blocks, shared, ranges))
-    release(docs.sparkSession)
-    covered = materialize(moved.where("range < 0").select("block", F.col("numbers").alias("covered")).unionByName(_met(moved)))
-    for used in (shared, moved):
-        discard(used)
+    met = _met(_moved(blocks, shared, ranges)).groupBy("block").agg(F.collect_list("covered").alias("covered"))
+    hot = _hot_windows(blocks, shared).groupBy("block").agg(F.collect_list("place").alias("places"))
+    # No more than the block's own windows.
+    covered = materialize(met.join(hot, "block", "full"))
+    discard(shared)
     release(docs.sparkSession)
-    covered = covered.groupBy("block").agg(F.collect_list("covered").alias("covered"))  # no more than the block's own windows
 
-    def finished(row: dict) -> dict:
+    def finished(row: dict) -> list[dict]:
         data, ends = _open(row["ends"], row["data"])
         ids, rows = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["rows"], np.int64)
-        starts = np.r_[0, ends[:-1]]
-        step = np.zeros(len(data) + 1, np.int64)
-        parts = [np.frombuffer(_loose(c), np.int64).reshape(3, -1) for c in row["covered"] or []]
-        if parts:
-            key, first, count = np.concatenate(parts, axis=1)
-            order = np.argsort(rows, kind="stable")
-            low = np.searchsorted(rows[order], key)
-            high = np.searchsorted(rows[order], key, side="right")
-            while (open_ := low < high).any():  # more than once only for repeated rows
-                at = starts[order[low[open_]]] + first[open_]
-                np.add.at(step, at, 1)
-                np.add.at(step, at + count[open_] + WINDOW - 1, -1)
-                low = low + 1
-        gone = np.cumsum(step[:-1]) > 0
-        out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "row", "text")}
-        for i, r, a, b in zip(ids.tolist(), rows.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        window = np.zeros(len(data) + WINDOW, bool)
+        for packed in row["covered"] or []:
+            first, mask = np.frombuffer(_loose(packed), "<u4").reshape(2, -1).astype(np.int64)
+            for k in range(SPAN):
+                window[first[mask >> k & 1 > 0] + WINDOW - 1 + k] = True
+        window[np.array(row["places"] or [], np.int64) + WINDOW - 1] = True
+        before = np.cumsum(window, dtype=np.int64)  # place p has the windows that begin at p - WINDOW + 1 to p
+        gone = before[WINDOW - 1 : len(data) + WINDOW - 1] - np.r_[0, before[: len(data)]][: len(data)] > 0
+        out = []
+        for i, r, a, b in zip(ids.tolist(), rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             mask, own = gone[a:b], data[a:b]
-            out["doc_id"].append(None if i == _MAX_ID else i)
-            out["n_bytes"].append(b - a)
-            out["n_removed"].append(int(mask.sum()))
-            out["n_spans"].append(int((mask & ~np.r_[False, mask[:-1]]).sum()))
-            out["kept_sha256"].append(hashlib.sha256(own[~mask].tobytes()).hexdigest())
-            out["row"].append(r)
+            found = {"doc_id": None if i == _MAX_ID else i, "n_bytes": b - a, "n_removed": int(mask.sum()), "row": r}
+            found["n_spans"] = int((mask & ~np.r_[False, mask[:-1]]).sum())
+            found["kept_sha256"] = hashlib.sha256(own[~mask].tobytes()).hexdigest()
             if with_texts:
                 char = np.cumsum((own & 0xC0) != 0x80) - 1
                 whole = np.ones(char[-1] + 1 if b > a else 0, bool)
                 whole[char[~mask]] = False
-                out["text"].append(own[~whole[char]].tobytes().decode() if b > a else "")
-        if not with_texts:
-            del out["text"]
+                found["text"] = own[~whole[char]].tobytes().decode() if b > a else ""
+            out.append(found)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_pydict(finished(batch.slice(k, 1).to_pylist()[0]), schema=arrow)
+        return trimmed(_rows(batches, finished, arrow))
 
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("row", pa.int64())]
     arrow = pa.schema([*fields, ("text", pa.string())] if with_texts else fields)
@@ -434,15 +441,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeats removed from their texts, without the documents of which nothing is left.
 
-    A column n_chars, if there is one, gets the number of characters left.
+    A column n_chars, if there is one, gets the number of characters left. Rows are told apart by id and a hash of their
+    text; repeated rows have one result, and all of them get it.
     """
-    left = covered_texts(docs, id_col, text_col, with_texts=True).where("n_bytes > n_removed").select("row", F.col("text").alias("left_text"))
-    left = left.dropDuplicates(["row"])
-    names = [c for c in docs.columns if c != text_col]
-    own = docs.select(*[F.col(f"`{c}`") for c in names], _row_key(id_col, text_col).alias("row key"))
-    joined = own.join(left.withColumnRenamed("row", "row key"), "row key")
+    left = covered_texts(docs, id_col, text_col, with_texts=True).where("n_bytes > n_removed")
+    left = left.select(F.coalesce("doc_id", F.lit(_MAX_ID)).alias("id"), "row", F.col("text").alias("left")).dropDuplicates(["id", "row"])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(None).alias("a struct needs a field"))
+    own = docs.select(_order_id(id_col).alias("id"), _row_key(id_col, text_col).alias("row"), whole.alias("whole"))
+    joined = own.join(left, ["id", "row"])
+    changed = {text_col: F.col("left")}
     types = dict(docs.dtypes)
-    changed = {text_col: F.col("left_text")}
     if "n_chars" in types:
-        changed["n_chars"] = F.length("left_text").cast(types["n_chars"])
-    return joined.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+        changed["n_chars"] = F.length("left").cast(types["n_chars"])
+    return joined.select(*[changed.get(c, F.col("whole").getField(c)).alias(c) for c in docs.columns])
