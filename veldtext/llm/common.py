@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,25 +37,49 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: What is written inside each :func:`scratch` that is open, the innermost last.
+_open: list[dict[str, DataFrame]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts the lineage, survives lost executors, and keeps what several later steps read from being computed
-    again. The files stay until the cluster clears the folder.
+    again. The files stay until the :func:`scratch` around them ends, or else until the cluster clears the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veldtext-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1][path] = out
+    return out
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that marks a table as needed later; all other tables written inside are deleted at the end."""
+    written: dict[str, DataFrame] = {}
+    _open.append(written)
+
+    def keep(df: DataFrame) -> DataFrame:
+        for path in [p for p, own in written.items() if own is df]:
+            del written[path]
+            if len(_open) > 1:
+                _open[-2][path] = df
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path, df in written.items():
+            _delete(df.sparkSession, path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for df. Nothing that is still to be computed may read it."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-        if "/veldtext-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

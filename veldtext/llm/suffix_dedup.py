@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldtext.llm.bwt import repeats
-from veldtext.llm.common import discard, materialize, release, trim, trimmed
+from veldtext.llm.common import materialize, release, scratch, trim, trimmed
 
 #: Bytes of a repeated string, and of the strings whose least hash is a window's anchor (a multiple of 8).
 WINDOW, GRAM = 50, 24
@@ -182,8 +182,9 @@ def _open(ends: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _short(value: np.ndarray) -> np.ndarray:
-    """The upper 48 bits, by which anchors are counted: two that agree in them only cost a needless look."""
-    return value >> _U(16)
+    """The upper 48 bits, spread evenly as least hashes are small, by which anchors are counted and dealt: two anchors
+    that agree in them only cost a needless look."""
+    return (value >> _U(16)) * _U(0x9E3779B97F4B) & _U((1 << 48) - 1)
 
 
 def _packed(short: np.ndarray) -> bytes:
@@ -204,8 +205,8 @@ def _loose(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data) if data else b""
 
 
-def _range_of(value: np.ndarray, ranges: int) -> np.ndarray:
-    return ((value >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+def _range_of(short: np.ndarray, ranges: int) -> np.ndarray:
+    return ((short >> _U(16)) * _U(ranges) >> _U(32)).astype(np.int64)
 
 
 def _pieces(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -239,7 +240,7 @@ def _sent_anchors(blocks: DataFrame, ranges: int) -> DataFrame:
         counts = np.minimum(counts, 255).astype(np.uint8)
         return [
             {"range": k, "block": row["block"], "value": _packed(value[a:b]), "times": counts[a:b].tobytes()}
-            for k, a, b in _pieces(_range_of(value << _U(16), ranges))
+            for k, a, b in _pieces(_range_of(value, ranges))
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +316,7 @@ def _moved(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
         if not found:
             return []
         value, first, n, ahead = (np.concatenate(x) for x in zip(*found, strict=True))
-        where = _range_of(value, ranges)
+        where = _range_of(_short(value), ranges)
         order = np.argsort(where, kind="stable")
         first, n, ahead = first[order], n[order], ahead[order]
         own = ids[np.searchsorted(ends, first, side="right")]
@@ -387,16 +388,15 @@ def _hot_windows(blocks: DataFrame, shared: DataFrame) -> DataFrame:
 def covered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, its row key, and with_texts the text
     without the characters whose bytes are all covered."""
-    blocks = materialize(_blocks(docs, id_col, text_col))
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    ranges = max(48, total // RANGE_BYTES)
-    shared = materialize(_shared_anchors(_sent_anchors(blocks, ranges)))
-    release(docs.sparkSession)
-    met = _met(_moved(blocks, shared, ranges)).groupBy("block").agg(F.collect_list("covered").alias("covered"))
-    hot = _hot_windows(blocks, shared).groupBy("block").agg(F.collect_list("place").alias("places"))
-    # No more than the block's own windows.
-    covered = materialize(met.join(hot, "block", "full"))
-    discard(shared)
+    with scratch() as keep:
+        blocks = keep(materialize(_blocks(docs, id_col, text_col)))
+        total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+        ranges = max(48, total // RANGE_BYTES)
+        shared = materialize(_shared_anchors(_sent_anchors(blocks, ranges)))
+        release(docs.sparkSession)
+        met = _met(_moved(blocks, shared, ranges)).groupBy("block").agg(F.collect_list("covered").alias("covered"))
+        hot = _hot_windows(blocks, shared).groupBy("block").agg(F.collect_list("place").alias("places"))
+        covered = keep(materialize(met.join(hot, "block", "full")))  # no more than the block's own windows
     release(docs.sparkSession)
 
     def finished(row: dict) -> list[dict]:
