@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldtext.llm.bwt import repeats
-from veldtext.llm.common import materialize, release, scratch, trim, trimmed
+from veldtext.llm.common import materialize, release, trim, trimmed
 
 #: Bytes of a repeated string, and of the strings whose least hash is a window's anchor (a multiple of 8).
 WINDOW, GRAM = 50, 24
@@ -45,7 +45,7 @@ HOT = 50_000
 #: Bytes of texts in a block, and of those whose anchors are in a range on average; windows hashed at a time.
 BLOCK_BYTES, RANGE_BYTES, STEP = 1_000_000, 6_000_000, 1 << 18
 #: Of zstandard, for what is written and shuffled.
-LEVEL = 3
+LEVEL = 6
 _MAX_ID = 2**63 - 1
 _U = np.uint64
 
@@ -330,7 +330,7 @@ def _moved(blocks: DataFrame, shared: DataFrame, ranges: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return trimmed(_rows(batches, one, _MOVED_ARROW))
 
-    return blocks.join(shared, "block").select("block", "ids", "ends", "data", "value", "hot").mapInArrow(run, _MOVED)
+    return blocks.join(shared, "block").mapInArrow(run, _MOVED)
 
 
 def _met(moved: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ def _hot_windows(blocks: DataFrame, shared: DataFrame) -> DataFrame:
         return trimmed(_rows(batches, one, schema))
 
     hot = shared.where(F.exists("hot", lambda x: F.octet_length(x) > 0))
-    rows = blocks.join(hot, "block").select("block", "ids", "ends", "data", "value", "hot").mapInArrow(run, "block long, place long, id long, bytes binary")
+    rows = blocks.join(hot, "block").mapInArrow(run, "block long, place long, id long, bytes binary")
     least = rows.groupBy("bytes").agg(F.min("id").alias("least"))
     # Both sides have exchanges of their own, so that a hot window is split at run time.
     return rows.join(least, "bytes").where("id > least").select("block", "place")
@@ -388,16 +388,16 @@ def _hot_windows(blocks: DataFrame, shared: DataFrame) -> DataFrame:
 def covered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, its row key, and with_texts the text
     without the characters whose bytes are all covered."""
-    with scratch() as keep:
-        blocks = keep(materialize(_blocks(docs, id_col, text_col)))
-        total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-        ranges = max(48, total // RANGE_BYTES)
-        shared = materialize(_shared_anchors(_sent_anchors(blocks, ranges)))
-        release(docs.sparkSession)
-        met = _met(_moved(blocks, shared, ranges)).groupBy("block").agg(F.collect_list("covered").alias("covered"))
-        hot = _hot_windows(blocks, shared).groupBy("block").agg(F.collect_list("place").alias("places"))
-        covered = keep(materialize(met.join(hot, "block", "full")))  # no more than the block's own windows
+    blocks = materialize(_blocks(docs, id_col, text_col))
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    ranges = max(48, total // RANGE_BYTES)
+    shared = materialize(_shared_anchors(_sent_anchors(blocks, ranges)))
     release(docs.sparkSession)
+    # The same rows in all joins below, so that Spark deals them out once and reads them again.
+    blocks = blocks.where("block is not null").drop("n_bytes")
+    met = _met(_moved(blocks, shared, ranges)).groupBy("block").agg(F.collect_list("covered").alias("covered"))
+    hot = _hot_windows(blocks, shared).groupBy("block").agg(F.collect_list("place").alias("places"))
+    covered = met.join(hot, "block", "full")  # no more than the block's own windows
 
     def finished(row: dict) -> list[dict]:
         data, ends = _open(row["ends"], row["data"])
@@ -430,7 +430,7 @@ def covered_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("row", pa.int64())]
     arrow = pa.schema([*fields, ("text", pa.string())] if with_texts else fields)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, row long" + ", text string" * with_texts
-    return blocks.select("block", "ids", "rows", "ends", "data").join(covered, "block", "left").drop("block").mapInArrow(run, schema)
+    return blocks.join(covered, "block", "left").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
