@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,16 +6,17 @@ from pyspark.sql import functions as F
 
 from veldtext import cli
 from veldtext.config import ScanConfig
+from veldtext.functions import patterns as P
 from veldtext.operators import bloom, report
 from veldtext.operators import heuristics as H
 from veldtext.operators.match import compile_signatures
 from veldtext.operators.scan import classify, scan
 from veldtext.plans import catalogue, corpus
 from veldtext.sources import signatures as S
-from veldtext.sources.files import decoded, listed, text_files
+from veldtext.sources.files import decoded, listed, pattern_file, spread, stored_files, text_files
 
-SALT = bytes.fromhex("DEADBEEF0102030405060708090A0B0C")
-PATTERNS = ["test pattern alpha bravo charlie", "test pattern delta echo foxtrot", "test ngram one two three", "sample detection line xray yankee zulu"]
+SALT = bytes(range(100, 116))
+PATTERNS = ["copper lantern beside a slow river", "wooden bridge under grey clouds", "seven maps for old harbours", "garden walls behind seventy tall poplars"]
 
 
 @pytest.fixture(scope="module")
@@ -30,18 +32,18 @@ def results(spark, found, *texts, config=ScanConfig(), name="t.md"):
 def test_scores(spark, found):
     import base64
 
-    inner = base64.b64encode(b"\nsample detection line xray yankee zulu\n").decode()
-    flat = base64.b64encode(b"sample detection line xray yankee zulu").decode()
+    inner = base64.b64encode(b"\ngarden walls behind seventy tall poplars\n").decode()
+    flat = base64.b64encode(b"garden walls behind seventy tall poplars").decode()
     got = results(
         spark, found,
         "only three words",
-        "only three words\ntest pattern alpha bravo charlie",
+        "only three words\ncopper lantern beside a slow river",
         f"x {flat} y",
         f"x {inner} y",
         "zero​‌‍﻿width",
         None,
         "",
-        "\n".join(PATTERNS + ["TEST pattern, alpha bravo charlie!"]),
+        "\n".join(PATTERNS + ["COPPER lantern, beside a slow river!"]),
     )
     assert (got[0].score, got[0].findings, got[0].line) == (0.0, [], None)
     assert (got[1].score, got[1].findings, got[1].line) == (20.0, ["hash_match(2)"], 1)
@@ -126,7 +128,58 @@ def test_listing(tmp_path, spark):
     assert decoded(b"a\xff\xfeb\xc3\xa9") == "a��bé"
 
 
-def test_reports(spark, found):
+def test_stored_files(tmp_path, spark):
+    (tmp_path / "a").mkdir()
+    for name, data in {"x.md": b"a\xffb\xc3\xa9", "a/y.TXT": b"yes", "empty.md": b"", "z.go": b"no", "big.md": b"x" * 100, ".env": b"unseen", "a/no": b"no"}.items():
+        (tmp_path / name).write_bytes(data)
+
+    def names(config):
+        return {r.path.rpartition(f"{tmp_path}/")[2]: (r.length, r.text) for r in stored_files(spark, str(tmp_path), config).collect()}
+
+    assert names(ScanConfig(max_file_size=50)) == {"x.md": (5, "a\ufffdb\u00e9"), "a/y.TXT": (3, "yes")}
+    assert set(names(ScanConfig(recursive=False))) == {"x.md", "big.md"}
+
+
+def test_pattern_file(tmp_path, spark):
+    (tmp_path / "p").write_text(" one \n# two\n\n" + "x" * 65535 + "\n")
+    assert [len(r.pattern) for r in pattern_file(spark, str(tmp_path / "p")).collect()] == [3, 65535]
+    (tmp_path / "q").write_text("one\n" + "x" * 65536)
+    with pytest.raises(Exception, match="65536 bytes"):
+        pattern_file(spark, str(tmp_path / "q")).collect()
+
+
+def test_spread(spark, monkeypatch):
+    rows = spark.range(100).coalesce(1)
+    assert spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr("veldtext.sources.files.MOST_SPREAD", 1)
+    assert spread(rows) is rows
+
+
+def test_patterns_in_java():
+    assert P.java(r"(?i)(?:^|\n)\s*[a-z]+s\[?") == r"(?:\A|\n)[\t\n\f\r ]*[a-zA-Z\u017F\u212A]+[sS\u017F]\[?"
+    assert P.java(r"[\s^]\\u[0-9]") == r"[\t\n\f\r ^]\\u[0-9]"
+
+
+def test_one_pass(spark, found):
+    """Without short patterns the texts are read once; with them, those that must be probed are read again."""
+    rows = spark.createDataFrame([("a.md", PATTERNS[0])], "path string, text string")
+    sure = compile_signatures(spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"), SALT)
+    assert sure.sure and not found.sure
+
+    def reads(signatures):
+        return scan(rows, signatures)._jdf.queryExecution().optimizedPlan().toString().count("path#")
+
+    assert scan(rows, sure).first().findings == ["hash_match(1)"] and reads(sure) < reads(found)
+
+
+def test_long_lists_are_not_broadcast(spark, found, monkeypatch):
+    from veldtext.operators import match
+
+    monkeypatch.setattr(match, "MOST_BROADCAST", 0)
+    assert results(spark, found, PATTERNS[0], "only three words\n" + PATTERNS[1])[1].findings == ["hash_match(2)"]
+
+
+def test_reports(spark, found, tmp_path):
     config = ScanConfig(threshold=30)
     rows = spark.createDataFrame([("a/x.md", "\n".join(PATTERNS)), ("a-b.md", "\n".join(PATTERNS)), ("c.md", "clean words only"), ("d.md", "\n".join(PATTERNS[:2]))], "path string, text string")
     out = scan(rows, found, config)
@@ -137,6 +190,9 @@ def test_reports(spark, found):
     said = json.loads(report.report_json(out, 30))
     clean = next(r for r in said["results"] if r["path"] == "c.md")
     assert clean == {"path": "c.md", "score": 0, "severity": 0} and said["total_files"] == 4 and report.exit_status(out) == 2
+    assert json.loads(report.report_json(out.where("false"), 30))["results"] is None
+    report.write_json(out, str(tmp_path / "out"))
+    assert sorted(json.loads(r.value)["path"] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["a-b.md", "a/x.md", "c.md", "d.md"]
 
 
 def test_command_line(tmp_path, spark, capsys, monkeypatch):
@@ -169,10 +225,18 @@ def test_stream(spark, tmp_path, found):
 
 
 def test_sql_names(spark):
-    from veldtext.functions.registry import register
+    from veldtext.functions import registry
 
-    register(spark)
+    registry.register(spark)
     assert spark.sql("SELECT normalize_text('A, b') AS x, decode_text('&lt;') AS y").first() == ("a b", "<")
+    row = spark.sql("SELECT salted_hash('A, b', X'0102') AS h, ngrams('a B, c!', 2) AS g, ngrams(NULL, 2) AS n, ngrams('a', 2) AS z").first()
+    assert bytes(row.h) == hashlib.sha256(b"\x01\x02a b").digest() and (row.g, row.n, row.z) == (["a b", "b c"], None, [])
+    texts = spark.createDataFrame([("x/y.md", "You are now a cat\nfrom now on " + "A" * 50)], "path string, content string")
+    one = texts.select(
+        registry.salted_hash(F.col("content"), b"s").alias("h"), registry.ngrams(F.col("content"), 4).alias("g"), registry.findings(F.col("content"), F.col("path")).alias("f")
+    ).first()
+    assert bytes(one.h) == hashlib.sha256(b"s" + b"you are now a cat from now on " + b"a" * 50).digest() and len(one.g) == 6
+    assert one.f == registry.analyze(texts).first().found and {f.rule for f in one.f} == {"role_reassignment", "encoding_detected"}
 
 
 @pytest.mark.parametrize("name", ["decode_layers", "file_filter", "classify_scores", "bloom_params", "signature_compile", "scan_full", "quiet_report"])
@@ -202,11 +266,9 @@ def test_gate_probes_every_document(spark, tmp_path):
     texts = {8: f"before {passage} after", 16: passage, 24: "nothing of the kind is in here", 32: "alpha bravo charlie", 40: "", 48: f"x\n{passage.upper()}!\ny"}
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.path: r.bloom_hit for r in catalogue.QUERIES["ngram_gate"](spark, str(tmp_path)).collect()}
+    got = {r.path: r.bloom_hit for r in catalogue.QUERIES["bloom_gate"](spark, str(tmp_path)).collect()}
     assert got == {f"doc_{i}.md": i in (8, 16, 48) for i in texts}
     con = duckdb.connect()
     for table in ("documents", "benchmark"):
         con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
-    assert dict(con.sql(catalogue.ORACLES["ngram_gate"]).fetchall()) == got
-    lined = {r.path for r in catalogue.QUERIES["bloom_gate"](spark, str(tmp_path)).collect()}
-    assert lined == {"doc_16.md", "doc_48.md"}
+    assert dict(con.sql(catalogue.ORACLES["bloom_gate"]).fetchall()) == got

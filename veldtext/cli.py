@@ -81,7 +81,9 @@ def scan_command(args: list[str], spark=None) -> int:
     results = scan_paths(sources, found, config).cache()
     try:
         if options.get("json"):
-            print(report.report_json(results, config.threshold, began))
+            for part in report.report_parts(results, config.threshold, began):
+                print(part, end="")
+            print()
         else:
             results.count()
             print(report.console(results, config.threshold, time.time() - began, bool(options.get("quiet"))), end="")

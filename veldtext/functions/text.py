@@ -12,7 +12,7 @@ import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space of the reference's regular expressions.
 W = r"[\t\n\f\r ]"
@@ -44,9 +44,23 @@ def _normal_form(texts: pd.Series) -> pd.Series:
     return texts.map(normal_form, na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _normal_lines(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [normal_form(line) for line in t.split("\n")], na_action="ignore")
+
+
+def _plainly(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def normalize(text: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(text.rlike(_PLAIN), plain).otherwise(_normal_form(F.when(~text.rlike(_PLAIN), text)))
+    return F.when(text.rlike(_PLAIN), _plainly(text)).otherwise(_normal_form(F.when(~text.rlike(_PLAIN), text)))
+
+
+def normal_lines(text: Column) -> Column:
+    """The normal form of each line, as an array."""
+    plain = F.transform(lines(text), _plainly)
+    return F.when(text.rlike(_PLAIN), plain).otherwise(_normal_lines(F.when(~text.rlike(_PLAIN), text)))
 
 
 def sha256(text: Column) -> Column:

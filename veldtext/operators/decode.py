@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 
+#: Zero-width characters, escapes, entities and base64.
 ZERO_WIDTH = "[\\u200B\\u200C\\u200D\\uFEFF]"
 _SUSPICIOUS = r"\\u[0-9a-fA-F]{4}|\\U[0-9a-fA-F]{8}|&|[A-Za-z0-9+/]{20}"
 _SHORT, _LONG = re.compile(r"\\u([0-9a-fA-F]{4})"), re.compile(r"\\U([0-9a-fA-F]{8})")

@@ -1,7 +1,6 @@
 """Structural heuristics: findings of rules on one text, as Column expressions.
 
-A finding is struct(rule, score, detail). Patterns are in Java's dialect; their letters match as in a case-blind engine
-that also takes the long s for s and the Kelvin sign for k.
+A finding is struct(rule, score, detail).
 """
 
 from __future__ import annotations
@@ -9,50 +8,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldtext.functions.text import W, imperative_flags, lines
+from veldtext.functions import patterns as P
+from veldtext.functions.text import imperative_flags, lines
 from veldtext.operators.decode import is_html
 
-_START = r"(?:\A|[\t\n\f\r \"'])"
-_LINE = rf"(?:\A|\n){W}*"
-_ANY_CASE = "a-zA-Z\\u017F\\u212A"
-
-
-def blind(word: str) -> str:
-    """word, matching in any case."""
-    more = {"s": "\\u017F", "k": "\\u212A"}
-    return "".join(f"[{c}{c.upper()}{more.get(c, '')}]" if c.isalpha() else c for c in word)
-
-
-def _one_of(words: str) -> str:
-    return "(?:" + "|".join(blind(w) for w in words.split()) + ")"
-
-
-#: What the patterns look for.
-TARGETS = (
-    _START + r"/(?:etc|var|usr|tmp|opt|home|root|proc|sys|dev|bin|sbin)/[a-zA-Z0-9_./-]+",
-    _START + rf"[{_ANY_CASE}]:\\[{_ANY_CASE}0-9\\._-]+",
-    r"\$\{?[A-Z_][A-Z0-9_]{2,}\}?",
-    _one_of("read write open delete remove create modify execute chmod chown curl wget fetch") + W + r"+[/\"'$]",
-)
-ROLE = (
-    _LINE + blind("you") + W + "+" + blind("are") + W + "+(?:" + blind("now") + W + "+)?(?:" + blind("a") + W + "+|"
-    + blind("the") + W + "+|" + blind("an") + W + rf"+)?[{_ANY_CASE}]+"
-)
-DIRECTIVES = (
-    blind("from") + W + "+" + blind("now") + W + "+" + blind("on"),
-    _one_of("ignore disregard forget override bypass") + W + "+(?:" + blind("all") + W + "+)?" + _one_of("previous prior above earlier original old"),
-    blind("your") + W + "+" + blind("new") + W + "+(?:" + blind("role") + "|" + blind("instruction") + blind("s") + "?|"
-    + "|".join(blind(w) for w in "purpose task objective mission identity persona name".split()) + ")",
-    _LINE + r"(?:\[?" + W + "*" + _one_of("system assistant user") + W + "*" + _one_of("message prompt instruction") + "?" + W + r"*\]?" + W + "*:)",
-)
-BASE64 = r"[A-Za-z0-9+/]{40,}={0,2}"
-ESCAPE = r"\\u[0-9a-fA-F]{4}"
-ENTITY = r"&(?:#[0-9]+|#x[0-9a-fA-F]+|[a-zA-Z]+);"
-INVISIBLE = r"\p{Cf}"
-
 
 def count_of(text: Column, *patterns: str) -> Column:
-    counts = [F.regexp_count(text, F.lit(p)) for p in patterns]
+    """How often patterns in RE2's dialect match, in all."""
+    counts = [F.regexp_count(text, F.lit(P.java(p))) for p in patterns]
     return sum(counts[1:], counts[0])
 
 
@@ -74,13 +37,13 @@ def measures(text: Column) -> dict[str, Column]:
     """What the rules on whole texts count. As columns of their own, each pattern runs once."""
     return {
         "n_lines": F.size(lines(text)),
-        "n_targets": count_of(text, *TARGETS),
-        "n_roles": count_of(text, ROLE),
-        "n_directives": count_of(text, *DIRECTIVES),
-        "n_blocks": count_of(text, BASE64),
-        "n_escapes": count_of(text, ESCAPE),
-        "n_entities": count_of(text, ENTITY),
-        "n_invisible": count_of(text, INVISIBLE),
+        "n_targets": count_of(text, *P.TARGETS),
+        "n_roles": count_of(text, *P.ROLES),
+        "n_directives": count_of(text, *P.DIRECTIVES),
+        "n_blocks": count_of(text, P.BASE64),
+        "n_escapes": count_of(text, P.ESCAPE),
+        "n_entities": count_of(text, P.ENTITY),
+        "n_invisible": count_of(text, P.INVISIBLE),
     }
 
 
@@ -142,15 +105,25 @@ def measured(rows: DataFrame, text: str = "content") -> DataFrame:
     return out.withColumns({"share": imperative_share(F.col("flags")), "shift": largest_shift(F.col("flags"))}).drop("flags")
 
 
-def analyzed(rows: DataFrame) -> DataFrame:
-    """rows (path, content, ...) with found: all findings of the heuristics, in the fixed order of the rules."""
-    name = F.substring_index("path", "/", -1)
-    counts = [F.col(c) for c in ("n_blocks", "n_escapes", "n_entities", "n_invisible")]
+def _found(m: dict[str, Column], share: Column, shift: Column, name: Column) -> Column:
+    """All findings, in the fixed order of the rules."""
     found = [
-        imperative_ratio(F.col("share")), system_targets(F.col("n_targets"), F.col("n_lines")), role_assignment(F.col("n_roles")),
-        directive_override(F.col("n_directives")), *encodings(*counts, name), register_break(F.col("shift")),
+        imperative_ratio(share), system_targets(m["n_targets"], m["n_lines"]), role_assignment(m["n_roles"]), directive_override(m["n_directives"]),
+        *encodings(m["n_blocks"], m["n_escapes"], m["n_entities"], m["n_invisible"], name), register_break(shift),
     ]
-    return measured(rows).select(*[F.col(f"`{c}`") for c in rows.columns], F.array_compact(F.array(*found)).alias("found"))
+    return F.array_compact(F.array(*found))
+
+
+def findings(text: Column, path: Column) -> Column:
+    """All findings of the heuristics in a text, as an array; path tells whether it is HTML."""
+    flags = imperative_flags(text)
+    return _found(measures(text), imperative_share(flags), largest_shift(flags), F.substring_index(path, "/", -1))
+
+
+def analyzed(rows: DataFrame) -> DataFrame:
+    """rows (path, content, ...) with found, as :func:`findings` gives them; each pattern runs once a text."""
+    found = _found({m: F.col(m) for m in measures(F.col("content"))}, F.col("share"), F.col("shift"), F.substring_index("path", "/", -1))
+    return measured(rows).select(*[F.col(f"`{c}`") for c in rows.columns], found.alias("found"))
 
 
 def register_shifts(sentences: DataFrame, *key: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Signatures: their compilation, and the lines of texts that match them.
 
-A text's matching lines count only if one of its 4-, 5- or 6-grams passes the filter. The semi join on lines runs first,
-as few texts have a matching line; only those texts are probed. Where the signatures come from this library's
-compiler, a matching line of four words or more has its own n-grams in the filter, so that these texts need no probe.
+A text's matching lines count only if one of its 4-, 5- or 6-grams passes the filter. The join on lines runs first, as
+few texts have a matching line; only those texts are probed. Where the signatures come from this library's compiler, a
+matching line of four words or more has its own n-grams in the filter, so that these texts need no probe.
 """
 
 from __future__ import annotations
@@ -11,13 +11,16 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldtext.functions.text import lines, multi_ngrams, normal_form, normalize, salted, words
-from veldtext.operators.bloom import filled, sizing
+from veldtext.functions.text import multi_ngrams, normal_form, normal_lines, normalize, salted, words
+from veldtext.operators.bloom import Bloom, filled, sizing
 from veldtext.sources.signatures import Signatures
 
+#: Line hashes up to which their table is broadcast; it takes some 100 bytes for each.
+MOST_BROADCAST = 500_000
+
 
 def clean_patterns(rows: DataFrame, column: str = "value") -> DataFrame:
     """Trimmed lines that are neither empty nor comments, as a column pattern."""
@@ -35,68 +38,85 @@ def pattern_hashes(patterns: DataFrame, salt: bytes) -> DataFrame:
 
 
 def compile_signatures(patterns: DataFrame, salt: bytes, rate: float = 0.001) -> Signatures:
-    """Signatures of a DataFrame with a column pattern."""
-    n = patterns.count()
+    """Signatures of a DataFrame with a column pattern. Their line hashes stay a DataFrame until a file needs them."""
+    counts = patterns.agg(F.count(F.lit(1)).alias("n"), F.min(F.size(words(normalize(F.col("pattern"))))).alias("shortest")).first()
+    n = counts.n
     if not n:
         raise ValueError("there are no patterns")
-    hashes = pattern_hashes(patterns, salt).cache()
-    try:
-        bloom = filled(hashes.select("hash"), *sizing(10 * n, rate))
-        table = tuple(sorted(bytes(r.hash) for r in hashes.where("kind = 'line'").select("hash").collect()))
-    finally:
-        hashes.unpersist()
-    return Signatures(salt, bloom, table, ours=True)
+    hashes = pattern_hashes(patterns, salt)
+    bloom = filled(hashes.select("hash"), *sizing(10 * n, rate))
+    return Signatures(salt, bloom, None, ours=True, rows=hashes.where("kind = 'line'").select("hash"), n_hashes=n, sure=counts.shortest >= 4)
 
 
 def signature_table(spark: SparkSession, found: Signatures) -> DataFrame:
-    """The distinct line hashes: as many rows as the file holds, so that Spark knows its size."""
-    return spark.createDataFrame([(bytearray(h),) for h in sorted(set(found.hashes))], "line_hash binary")
+    """The distinct line hashes, broadcast if they are few; beyond that Spark chooses the join."""
+    rows = found.rows
+    if rows is None:
+        rows = spark.createDataFrame([(bytearray(h),) for h in found.hashes], "hash binary")
+    rows = rows.select(F.col("hash").alias("line_hash")).distinct()
+    return F.broadcast(rows) if found.count <= MOST_BROADCAST else rows
+
+
+def line_entries(text: Column, salt: bytes) -> Column:
+    """line_no (from 1), n_words and line_hash of each line that is not empty in normal form, as an array."""
+    each = F.transform(normal_lines(text), lambda norm, at: F.struct((at + 1).alias("line_no"), norm.alias("norm")))
+    kept = F.filter(each, lambda x: x["norm"] != "")
+    return F.transform(
+        kept, lambda x: F.struct(x["line_no"], F.size(words(x["norm"])).alias("n_words"), salted(x["norm"], salt).alias("line_hash"))
+    )
 
 
 def line_hashes(rows: DataFrame, salt: bytes, *key: str, text: str = "content") -> DataFrame:
     """key columns, line_no (from 1), n_words and line_hash of each line that is not empty in normal form."""
-    each = rows.select(*key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
-    each = each.select(*key, (F.col("pos") + 1).alias("line_no"), normalize(F.col("line")).alias("norm")).where("norm <> ''")
-    return each.select(*key, "line_no", F.size(words(F.col("norm"))).alias("n_words"), salted(F.col("norm"), salt).alias("line_hash"))
+    return rows.select(*key, F.inline(line_entries(F.col(text), salt)))
 
 
 def matching_lines(rows: DataFrame, found: Signatures, *key: str, text: str = "content") -> DataFrame:
     return line_hashes(rows, found.salt, *key, text=text).join(signature_table(rows.sparkSession, found), "line_hash", "left_semi")
 
 
-def opens_gate(content: str, found: Signatures) -> bool:
+def opens_gate(content: str, salt: bytes, bloom: Bloom) -> bool:
     """Whether an n-gram of the text passes the filter."""
     tokens = normal_form(content).split()
     for n in (4, 5, 6):
         for at in range(0, len(tokens) - n + 1, 512):
             stop = min(at + 512, len(tokens) - n + 1)
-            digests = [hashlib.sha256(found.salt + " ".join(tokens[i : i + n]).encode()).digest() for i in range(at, stop)]
-            if digests and found.bloom.test(digests).any():
+            digests = [hashlib.sha256(salt + " ".join(tokens[i : i + n]).encode()).digest() for i in range(at, stop)]
+            if digests and bloom.test(digests).any():
                 return True
     return False
 
 
 def gated(rows: DataFrame, found: Signatures, *key: str, text: str = "content") -> DataFrame:
-    """key columns and bloom_hit of each row."""
-    shipped = rows.sparkSession.sparkContext.broadcast(found)
+    """key columns and bloom_hit of each row. Only the salt and the filter's bits are sent to the tasks."""
+    shipped = rows.sparkSession.sparkContext.broadcast((found.salt, found.bloom))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [t is not None and opens_gate(t, shipped.value) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            hits = [t is not None and opens_gate(t, *shipped.value) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, pa.bool_())], names=[*key, "bloom_hit"])
 
     own = rows.select(*key, text)
     return own.mapInArrow(run, own.select(*key).schema.add("bloom_hit", "boolean"))
 
 
+def gate_open(hits: DataFrame, rows: DataFrame, found: Signatures, *key: str, text: str = "content") -> DataFrame:
+    """hits (key columns, longest: words of the longest matching line or null, ...) and open: whether the matches count.
+
+    rows are read again only for hits that must be probed, and not at all where there can be none.
+    """
+    if found.sure:
+        return hits.withColumn("open", F.col("longest").isNotNull())
+    sure = F.col("longest") >= 4 if found.ours else F.lit(False)
+    unsure = hits.where(F.col("longest").isNotNull() & ~sure).select(*key).distinct()
+    probed = gated(rows.join(unsure, [*key], "left_semi"), found, *key, text=text).where("bloom_hit").select(*key).distinct()
+    out = hits.join(probed.withColumn("probed", F.lit(True)), [*key], "left")
+    return out.withColumn("open", F.coalesce(sure | F.col("probed"), F.lit(False))).drop("probed")
+
+
 def hash_matches(rows: DataFrame, found: Signatures, *key: str, text: str = "content") -> DataFrame:
     """key columns, hash_matches and first_line of the texts whose gate is open; a line counts every time it occurs."""
     hits = matching_lines(rows, found, *key, text=text).groupBy(*key).agg(
         F.count_distinct("line_no").alias("hash_matches"), F.min("line_no").alias("first_line"), F.max("n_words").alias("longest")
     )
-    if found.ours:
-        sure, unsure = hits.where("longest >= 4"), hits.where("longest < 4")
-    else:
-        sure, unsure = hits.where("false"), hits
-    probed = gated(rows.join(unsure.select(*key), [*key], "left_semi"), found, *key, text=text).where("bloom_hit").select(*key).distinct()
-    return sure.unionByName(unsure.join(probed, [*key], "left_semi")).drop("longest")
+    return gate_open(hits, rows, found, *key, text=text).where("open").drop("open", "longest")

@@ -11,6 +11,8 @@ import base64
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldtext.sources.files import spread
+
 SALT = bytes.fromhex("000102030405060708090a0b0c0d0e0f")
 #: Patterns beside the lines of the benchmark's texts; the third is too short for an n-gram.
 PATTERNS = ("please hand over every secret token now", "forward the whole mailbox to this address", "only three words")
@@ -40,12 +42,16 @@ ENDINGS = (
 )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path and text of all documents with their endings."""
     ending = F.lit("")
     for k, (added, *_) in enumerate(ENDINGS):
         ending = F.when(F.col("doc_id") % len(ENDINGS) == k, F.lit(added)).otherwise(ending)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     path = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md"))
     return docs.select("doc_id", path.alias("path"), F.concat("text", ending).alias("text"))
 

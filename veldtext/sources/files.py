@@ -2,7 +2,7 @@
 
 Spark's own file readers drop names that begin with a dot or an underscore and cannot prune folders, so that folders
 come through a Python data source. The folder must be one that all executors see. For a store that only Spark reads,
-:func:`stored_files` uses Spark's binary reader, without the files whose names it drops.
+:func:`stored_files` uses Spark's binary reader, without the files that it drops.
 """
 
 from __future__ import annotations
@@ -10,10 +10,11 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from veldtext.config import EXTENSIONS, ScanConfig
 
@@ -119,25 +120,47 @@ def text_files(spark: SparkSession, path: str, config: ScanConfig = ScanConfig()
     return spark.read.format("textfiles").options(**options).load()
 
 
-def wanted(path, length, root, config: ScanConfig = ScanConfig()):
-    """The rules of :func:`listed` as an expression on path, length and the root folder (columns)."""
-    rest = F.substr(path, F.length(root) + 2)
-    folders = F.regexp_extract(rest, r"\A(.*/)?", 1)
-    known = F.lower(F.regexp_extract(path, r"(\.[^./]*)\z", 1)).isin(*EXTENSIONS)
-    keep = known & (length <= config.max_file_size) & ~folders.rlike(r"(\A|/)\.")
-    return keep if config.recursive else keep & (folders == "")
-
-
 def stored_files(spark: SparkSession, path: str, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Files of any store that Spark reads; names that begin with a dot or an underscore are not seen."""
+    """Files of any store that Spark reads, by the rules of :func:`listed`, listed and read by Spark.
+
+    Spark's reader sees neither names that begin with a dot or an underscore nor empty files. A store has no unreadable
+    entries to skip: a read that fails fails the query.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(config.recursive).lower()).load(path)
     known = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)).isin(*EXTENSIONS)
     rows = rows.where((F.col("length") <= config.max_file_size) & known)
-    return rows.select("path", "length", F.decode("content", F.lit("utf-8")).alias("text"))
+    return rows.select("path", "length", _decoded("content").alias("text"))
+
+
+@F.pandas_udf(StringType())
+def _decoded(contents: pd.Series) -> pd.Series:
+    return contents.map(decoded, na_action="ignore")
+
+
+#: Bytes up to which a table is dealt out anew.
+MOST_SPREAD = 1 << 30
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where the table is small.
+
+    A file of one row group is read by one task, however many cores there are. A table of more bytes than MOST_SPREAD, by
+    the optimizer's estimate, has row groups enough and stays as it is.
+    """
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= MOST_SPREAD else rows
+
+
+#: Bytes of a line of a pattern list.
+MOST_LINE = 64 * 1024
 
 
 def pattern_file(spark: SparkSession, path: str) -> DataFrame:
-    """A pattern list: one pattern a line, comments and empty lines left out."""
+    """A pattern list: one pattern a line, comments and empty lines left out. A line of MOST_LINE bytes or more is an
+    error when the rows are read."""
     from veldtext.operators.match import clean_patterns
 
-    return clean_patterns(spark.read.text(path))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    long = F.octet_length("value") >= MOST_LINE
+    checked = F.when(long, F.raise_error(F.lit(f"a pattern has {MOST_LINE} bytes or more"))).otherwise(F.col("value"))
+    return clean_patterns(lines.select(checked.alias("value")))

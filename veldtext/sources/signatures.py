@@ -7,11 +7,14 @@ HMAC-SHA-256 over all before it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import hmac
 import os
 import struct
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
 
 from veldtext.operators.bloom import Bloom
 
@@ -31,13 +34,29 @@ class SignatureError(ValueError):
 
 @dataclass(frozen=True)
 class Signatures:
-    """ours: made by this library's compiler, so that a known line's n-grams are in the filter."""
+    """The line hashes are a tuple, table, or the column hash of a DataFrame, rows, with n_hashes rows.
+
+    ours: made by this library's compiler, so that a known line's n-grams are in the filter; sure: no line is so short
+    that it has none, either.
+    """
 
     salt: bytes
     bloom: Bloom
-    hashes: tuple[bytes, ...]
+    table: tuple[bytes, ...] | None
     version: int = 1
     ours: bool = False
+    rows: DataFrame | None = field(default=None, compare=False)
+    n_hashes: int = 0
+    sure: bool = False
+
+    @functools.cached_property
+    def hashes(self) -> tuple[bytes, ...]:
+        """All line hashes, sorted and with repeats, on the driver."""
+        return self.table if self.table is not None else tuple(sorted(bytes(r.hash) for r in self.rows.collect()))
+
+    @property
+    def count(self) -> int:
+        return len(self.table) if self.table is not None else self.n_hashes
 
     def __contains__(self, line_hash: bytes) -> bool:
         return line_hash in self.hashes
