@@ -160,16 +160,23 @@ def test_patterns_in_java():
     assert P.java(r"[\s^]\\u[0-9]") == r"[\t\n\f\r ^]\\u[0-9]"
 
 
-def test_one_pass(spark, found):
-    """Without short patterns the texts are read once; with them, those that must be probed are read again."""
-    rows = spark.createDataFrame([("a.md", PATTERNS[0])], "path string, text string")
-    sure = compile_signatures(spark.createDataFrame([(p,) for p in PATTERNS], "pattern string"), SALT)
-    assert sure.sure and not found.sure
+def test_one_pass(spark, found, monkeypatch):
+    """Texts are read once, unless the short patterns are too many to look for row by row; the results are the same."""
+    from veldtext.operators import match
+
+    rows = spark.createDataFrame([("a.md", PATTERNS[0]), ("b.md", "only three words"), ("c.md", f"Only, three words!\nx {PATTERNS[1]} y"), ("d.md", None)], "path string, text string")
+    patterns = spark.createDataFrame([(p,) for p in [*PATTERNS, "only three words"]], "pattern string")
+    monkeypatch.setattr(match, "MOST_SHORT", 0)
+    many = compile_signatures(patterns, SALT)
+    sure = compile_signatures(patterns.where("pattern <> 'only three words'"), SALT)
+    assert (len(found.short), many.short, sure.short) == (1, None, ())
 
     def reads(signatures):
-        return scan(rows, signatures)._jdf.queryExecution().optimizedPlan().toString().count("path#")
+        return scan(rows, signatures)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD [path")
 
-    assert scan(rows, sure).first().findings == ["hash_match(1)"] and reads(sure) < reads(found)
+    assert reads(found) == reads(sure) == 1 < reads(many)
+    got = [{r.path: r.findings for r in scan(rows, s).collect()} for s in (found, many, S.from_bytes(S.to_bytes(found)))]
+    assert got[0] == got[1] == got[2] == {"a.md": ["hash_match(1)"], "b.md": [], "c.md": ["hash_match(1)"], "d.md": []}
 
 
 def test_long_lists_are_not_broadcast(spark, found, monkeypatch):

@@ -2,7 +2,8 @@
 
 A text's matching lines count only if one of its 4-, 5- or 6-grams passes the filter. The join on lines runs first, as
 few texts have a matching line; only those texts are probed. Where the signatures come from this library's compiler, a
-matching line of four words or more has its own n-grams in the filter, so that these texts need no probe.
+matching line of four words or more has its own n-grams in the filter, so that these texts need no probe; and while the
+signatures have few shorter lines, the texts with one of these are found, and probed, as they pass.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from veldtext.functions.text import multi_ngrams, normal_form, normal_lines, normalize, salted, words
 from veldtext.operators.bloom import Bloom, filled, sizing
@@ -20,6 +23,8 @@ from veldtext.sources.signatures import Signatures
 
 #: Line hashes up to which their table is broadcast; it takes some 100 bytes for each.
 MOST_BROADCAST = 500_000
+#: Short lines up to which texts with one of them are found row by row, by a list of constants.
+MOST_SHORT = 256
 
 
 def clean_patterns(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -39,13 +44,16 @@ def pattern_hashes(patterns: DataFrame, salt: bytes) -> DataFrame:
 
 def compile_signatures(patterns: DataFrame, salt: bytes, rate: float = 0.001) -> Signatures:
     """Signatures of a DataFrame with a column pattern. Their line hashes stay a DataFrame until a file needs them."""
-    counts = patterns.agg(F.count(F.lit(1)).alias("n"), F.min(F.size(words(normalize(F.col("pattern"))))).alias("shortest")).first()
-    n = counts.n
+    norms = patterns.select(normalize(F.col("pattern")).alias("norm"))
+    short = F.size(words(F.col("norm"))) < 4
+    few = norms.where(short).select(salted(F.col("norm"), salt).alias("hash")).distinct().limit(MOST_SHORT + 1).collect()
+    n = patterns.count()
     if not n:
         raise ValueError("there are no patterns")
     hashes = pattern_hashes(patterns, salt)
     bloom = filled(hashes.select("hash"), *sizing(10 * n, rate))
-    return Signatures(salt, bloom, None, ours=True, rows=hashes.where("kind = 'line'").select("hash"), n_hashes=n, sure=counts.shortest >= 4)
+    known = tuple(sorted(bytes(r.hash) for r in few)) if len(few) <= MOST_SHORT else None
+    return Signatures(salt, bloom, None, ours=True, rows=hashes.where("kind = 'line'").select("hash"), n_hashes=n, short=known)
 
 
 def signature_table(spark: SparkSession, found: Signatures) -> DataFrame:
@@ -100,23 +108,45 @@ def gated(rows: DataFrame, found: Signatures, *key: str, text: str = "content")
     return own.mapInArrow(run, own.select(*key).schema.add("bloom_hit", "boolean"))
 
 
+def with_entries(rows: DataFrame, found: Signatures, text: str = "content") -> DataFrame:
+    """rows with entries, as :func:`line_entries` gives them, and probed: whether the text has a short line of the
+    signatures and opens the gate; null where that is not decided here."""
+    entries = F.coalesce(line_entries(F.col(text), found.salt), F.array().cast("array<struct<line_no:int,n_words:int,line_hash:binary>>"))
+    # The entries depend on a number that changes nothing, so that later filters are not computed from a copy of them.
+    rows = rows.withColumn("entries", F.when(F.monotonically_increasing_id() >= 0, entries))
+    if not found.ours or found.short is None:
+        return rows.withColumn("probed", F.lit(None).cast("boolean"))
+    if not found.short:
+        return rows.withColumn("probed", F.lit(False))
+    shipped = rows.sparkSession.sparkContext.broadcast((found.salt, found.bloom))
+
+    @F.pandas_udf(BooleanType())
+    def probe(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: opens_gate(t, *shipped.value), na_action="ignore")
+
+    known = [F.lit(bytearray(h)) for h in found.short]
+    suspected = F.exists("entries", lambda e: (e["n_words"] < 4) & e["line_hash"].isin(known))
+    return rows.withColumn("probed", F.coalesce(probe(F.when(suspected, F.col(text))), F.lit(False)))
+
+
 def gate_open(hits: DataFrame, rows: DataFrame, found: Signatures, *key: str, text: str = "content") -> DataFrame:
-    """hits (key columns, longest: words of the longest matching line or null, ...) and open: whether the matches count.
+    """hits (key columns, longest: words of the longest matching line or null, probed, ...) with open in place of probed:
+    whether the matches count.
 
-    rows are read again only for hits that must be probed, and not at all where there can be none.
+    rows are read again only where :func:`with_entries` could not probe, and then only those whose matches need it.
     """
-    if found.sure:
-        return hits.withColumn("open", F.col("longest").isNotNull())
     sure = F.col("longest") >= 4 if found.ours else F.lit(False)
-    unsure = hits.where(F.col("longest").isNotNull() & ~sure).select(*key).distinct()
-    probed = gated(rows.join(unsure, [*key], "left_semi"), found, *key, text=text).where("bloom_hit").select(*key).distinct()
-    out = hits.join(probed.withColumn("probed", F.lit(True)), [*key], "left")
-    return out.withColumn("open", F.coalesce(sure | F.col("probed"), F.lit(False))).drop("probed")
+    if not found.ours or found.short is None:
+        unsure = hits.where(F.col("longest").isNotNull() & ~sure).select(*key).distinct()
+        opened = gated(rows.join(unsure, [*key], "left_semi"), found, *key, text=text).where("bloom_hit").select(*key).distinct()
+        hits = hits.drop("probed").join(opened.withColumn("probed", F.lit(True)), [*key], "left")
+    return hits.withColumn("open", F.col("longest").isNotNull() & (sure | F.coalesce("probed", F.lit(False)))).drop("probed")
 
 
 def hash_matches(rows: DataFrame, found: Signatures, *key: str, text: str = "content") -> DataFrame:
     """key columns, hash_matches and first_line of the texts whose gate is open; a line counts every time it occurs."""
-    hits = matching_lines(rows, found, *key, text=text).groupBy(*key).agg(
-        F.count_distinct("line_no").alias("hash_matches"), F.min("line_no").alias("first_line"), F.max("n_words").alias("longest")
+    each = with_entries(rows, found, text).select(*key, "probed", F.inline("entries"))
+    hits = each.join(signature_table(rows.sparkSession, found), "line_hash", "left_semi").groupBy(*key).agg(
+        F.count_distinct("line_no").alias("hash_matches"), F.min("line_no").alias("first_line"), F.max("n_words").alias("longest"), F.bool_or("probed").alias("probed")
     )
     return gate_open(hits, rows, found, *key, text=text).where("open").drop("open", "longest")

@@ -36,8 +36,8 @@ class SignatureError(ValueError):
 class Signatures:
     """The line hashes are a tuple, table, or the column hash of a DataFrame, rows, with n_hashes rows.
 
-    ours: made by this library's compiler, so that a known line's n-grams are in the filter; sure: no line is so short
-    that it has none, either.
+    ours: made by this library's compiler, so that the n-grams of a known line are in the filter if it has any; short:
+    the hashes of the lines of fewer than four words, which have none, or None if they are not known or too many.
     """
 
     salt: bytes
@@ -47,7 +47,7 @@ class Signatures:
     ours: bool = False
     rows: DataFrame | None = field(default=None, compare=False)
     n_hashes: int = 0
-    sure: bool = False
+    short: tuple[bytes, ...] | None = None
 
     @functools.cached_property
     def hashes(self) -> tuple[bytes, ...]:
