@@ -36,9 +36,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 from veldtext.llm.common import materialize
 from veldtext.llm.pretokens import sliced
 
-#: Hashed trigrams of a model; languages whose counts are held at once; words remembered by a worker, and the numbers
-#: remembered for them.
-BUCKETS, SLICE, MOST_WORDS, MOST_NUMBERS = 1 << 15, 32, 300_000, 20_000_000
+#: Hashed trigrams of a model; languages whose counts are held at once; words remembered by a worker, the numbers
+#: remembered for them, and their characters (beside those of one call).
+BUCKETS, SLICE, MOST_WORDS, MOST_NUMBERS, MOST_CHARS = 1 << 15, 32, 300_000, 20_000_000, 8_000_000
 NONE = "und"
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _TAGS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
@@ -123,16 +123,17 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
     shipped = rows.sparkSession.sparkContext.broadcast(model.T.copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen, known = shipped.value, {}, np.empty((1024, model_rows), np.float32)
+        table, seen, known, chars = shipped.value, {}, np.empty((1024, model_rows), np.float32), 0
         most = min(MOST_WORDS, MOST_NUMBERS // model_rows)
         for batch in batches:
             found = []
             for texts in sliced([t or "" for t in batch.column("text").to_pylist()]):
                 split = [words_of(t) for t in texts]
                 new = set().union(*split).difference(seen)
-                if len(seen) + len(new) > most:
+                if len(seen) + len(new) > most or chars > MOST_CHARS:
                     seen.clear()
-                    new = set().union(*split)
+                    new, chars = set().union(*split), 0
+                chars += sum(map(len, new))
                 need = len(seen) + len(new)
                 if need > len(known):
                     known = np.concatenate([known, np.empty((max(need, 2 * len(known)) - len(known), model_rows), np.float32)])
@@ -269,8 +270,10 @@ def language_evidence(docs: DataFrame, pages: DataFrame) -> DataFrame:
 def survivors(docs: DataFrame) -> DataFrame:
     """The documents whose language is found. A document's row is told apart by its id and its text."""
     languages, model = fit(docs)
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
-    rows = document_rows(docs).withColumn("row key", key)
-    kept = identify(rows, languages, model).where("accepted").select("row key").distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.withColumn("row key", key).join(kept, "row key", "left_semi").select(*columns)
+    own, text = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = document_rows(docs).withColumn("text key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = identify(rows, languages, model).where("accepted").select(F.col("doc_id").alias("kept_id"), F.col("text key").alias("kept_text")).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(whole.alias("whole"), own.alias("own_id"), text.alias("own_text"))
+    match = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_text") == F.col("kept_text"))
+    return keyed.join(kept, match, "left_semi").select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])

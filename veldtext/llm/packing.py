@@ -1,7 +1,10 @@
 """Best-fit packing by minimum bin slack.
 
 For each bin, the largest length that is left comes first; a subset-sum over the lengths that are left, with sums held
-as the bits of an integer, finds the fullest feasible combination, which is then removed. Pieces of one length are
+as the bits of an integer, finds the fullest feasible combination, which is then removed. Bins that are filled to the
+last token use up the small pieces early, and the last bins lack them. So the plan is made several times, each with some
+slack that ends the search for a fuller combination (the sums grow from the larger lengths to the smaller), and the plan
+with the fewest bins counts; the first that needs no more bins than the tokens do ends the trials. Pieces of one length are
 interchangeable, so the scheduler works on the counts by length (at most `size` numbers, whatever the table's size) and
 removes a combination as many times as the counts allow. The pieces themselves are numbered within their length and
 look their place up in the resulting plan; only their numbers are shuffled.
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 from veldtext.llm.common import materialize
 from veldtext.llm.pretokens import ChunkMemo, held, sliced
 
-#: Runs in which the pieces of one length are numbered; RUNS * size rows at most are broadcast.
-RUNS = 64
+#: Pieces of one length that are numbered in one run, on average. A row for each run, and size more, are broadcast.
+RUN_PIECES = 5_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -39,6 +42,7 @@ class JsonTokenizer:
 
         self.model, self.between = Tokenizer.from_file(path), between
         self.end = self.model.token_to_id(between)
+        self.added = [token.content for token in self.model.get_added_tokens_decoder().values()]
         self.memo = ChunkMemo(self._encode_chunks, pattern)
 
     def _one(self, text: str) -> list[int]:
@@ -61,7 +65,10 @@ class JsonTokenizer:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(v) for v in self.memo.values(texts)]
+        """A text that holds an added token goes whole to the library, which cuts it there before all else."""
+        whole = [any(token in t for token in self.added) for t in texts]
+        values = self.memo.values("" if w else t for w, t in zip(whole, texts, strict=True))
+        return [np.array(self._one(t), "<u4").tobytes() if w else b"".join(v) for w, t, v in zip(whole, texts, values, strict=True)]
 
 
 def token_pieces(
@@ -110,20 +117,25 @@ def token_pieces(
     return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def fullest(counts: dict[int, int], size: int) -> dict[int, int]:
-    """The combination with the largest sum up to size that holds the largest length: {length: times}."""
+#: Slacks that are tried.
+SLACKS = (0, 1, 2, 4, 8, 16, 32, 64)
+
+
+def fullest(counts: dict[int, int], size: int, slack: int = 0) -> dict[int, int]:
+    """The combination with the largest sum up to size that holds the largest length: {length: times}. The first sum
+    that leaves no more than slack is enough."""
     lengths = sorted(counts, reverse=True)
     top, mask = lengths[0], (1 << (size + 1)) - 1
     sums, steps = 1 << top, []
     for length in lengths:
         for _ in range(min(counts[length] - (length == top), (size - top) // length)):
+            if sums >> max(0, size - slack):
+                break
             more = sums | (sums << length) & mask
             if more == sums:
                 break
             steps.append((length, sums))
             sums = more
-        if sums >> size:
-            break
     total, used = sums.bit_length() - 1, {top: 1}
     for length, before in reversed(steps):
         if not before >> total & 1:
@@ -132,22 +144,37 @@ def fullest(counts: dict[int, int], size: int) -> dict[int, int]:
     return used
 
 
+def combinations(counts: dict[int, int], size: int, slack: int) -> tuple[int, list[tuple[dict[int, int], int]]]:
+    """The bins needed for counts, and the combinations with how often each is removed."""
+    left, out = {k: v for k, v in counts.items() if v}, []
+    while left:
+        used = fullest(left, size, slack)
+        times = min(left[length] // n for length, n in used.items())
+        for length, n in used.items():
+            left[length] -= n * times
+            if not left[length]:
+                del left[length]
+        out.append((used, times))
+    return sum(times for _, times in out), out
+
+
 def plan(counts: dict[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Where the pieces of each length go: sorted (length, first number) keys, and for each the first sequence, the
     pieces of that length in a sequence, and the offset of the first of them."""
-    left, taken = {k: v for k, v in counts.items() if v}, dict.fromkeys(counts, 0)
-    rows, sequence = [], 0
-    while left:
-        used = fullest(left, size)
-        times = min(left[length] // n for length, n in used.items())
+    least, best = -(-sum(length * n for length, n in counts.items()) // size), None
+    for slack in SLACKS:
+        found = combinations(counts, size, slack)
+        if best is None or found[0] < best[0]:
+            best = found
+        if best[0] == least:
+            break
+    taken, rows, sequence = dict.fromkeys(counts, 0), [], 0
+    for used, times in best[1]:
         offset = 0
         for length, n in sorted(used.items(), reverse=True):
             rows.append((length, taken[length], sequence, n, offset))
             offset += length * n
             taken[length] += n * times
-            left[length] -= n * times
-            if not left[length]:
-                del left[length]
         sequence += times
     rows.sort()
     table = np.array(rows, np.int64).reshape(-1, 5)
@@ -161,7 +188,8 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
         raise ValueError(f"a piece must have 1 to {size} tokens")
     keys, places = plan(counts, size)
     names = pieces.columns
-    runs = pieces.withColumn("run", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RUNS)).cast("int"))
+    many = F.array(*[F.lit(-(-counts.get(k, 1) // RUN_PIECES)) for k in range(size + 1)])
+    runs = pieces.withColumn("run", F.pmod(F.xxhash64("doc_id", "piece"), F.get(many, F.col("length").cast("int"))).cast("int"))
     before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     firsts = (
         runs.groupBy("length", "run")
@@ -171,7 +199,7 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     inside = Window.partitionBy("length", "run").orderBy("doc_id", "piece")
     numbered = (
         runs.withColumn("at", F.row_number().over(inside) - 1)
-        .join(F.broadcast(firsts), ["length", "run"])  # at most size * RUNS rows
+        .join(F.broadcast(firsts), ["length", "run"])  # size rows, and one for each RUN_PIECES pieces
         .select(*names, (F.col("first") + F.col("at")).alias("number"))
     )
 

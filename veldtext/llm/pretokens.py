@@ -2,7 +2,7 @@
 
 A text is cut before each single space that neither follows nor precedes other white space. Pre-tokens never cross
 such a place, so the ids of a text are the ids of its chunks, one after the other, and a chunk that was seen before
-need not be encoded again. A fixed number of chunks is remembered.
+need not be encoded again. The chunks that are remembered are bounded by number and size.
 """
 
 from __future__ import annotations
@@ -17,15 +17,16 @@ import regex
 _OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEFORE_SPACE = tuple(c + " " for c in _OTHER_SPACES)
 _BETWEEN = re.compile(f"[{_OTHER_SPACES}] [{_OTHER_SPACES}]")
-#: Chunks of one generation. Two are remembered: what the younger one lacks moves over from the older one.
-MOST_CHUNKS = 250_000
+#: Chunks of one generation, and their characters, at most (beside those of one call). Two generations are remembered:
+#: what the younger one lacks moves over from the older one.
+MOST_CHUNKS, MOST_CHARS = 250_000, 4_000_000
 
 
 class ChunkMemo:
     """value_of(list of chunks) gives a value for each; values() gives those of a text's chunks."""
 
     def __init__(self, value_of: Callable[[list[str]], list], pattern: str):
-        self.value_of, self.pattern, self.seen, self.older = value_of, regex.compile(pattern), {}, {}
+        self.value_of, self.pattern, self.seen, self.older, self.chars = value_of, regex.compile(pattern), {}, {}, 0
 
     def keys(self, text: str) -> list:
         """A string stands for the chunk with a space before it, a tuple for one without.
@@ -40,9 +41,11 @@ class ChunkMemo:
     def values(self, texts: Iterable[str]) -> list[list]:
         keyed = [self.keys(t) if t else [] for t in texts]
         new = set().union(*keyed).difference(self.seen)
-        if len(self.seen) + len(new) > MOST_CHUNKS:
-            self.older, self.seen = self.seen, {}
+        more = sum(len(k) if isinstance(k, str) else len(k[0]) for k in new)
+        if len(self.seen) + len(new) > MOST_CHUNKS or self.chars + more > MOST_CHARS:
+            self.older, self.seen, self.chars = self.seen, {}, 0
             new = set().union(*keyed)
+        self.chars += more
         if self.older:
             known = new.intersection(self.older)
             self.seen.update((k, self.older[k]) for k in known)

@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from veldtext.llm.common import materialize
 from veldtext.llm.pretokens import sliced
 
-#: Labelled rows of a fit, at most; terms of a lexicon, at most; least statistic and support of a term.
-MAX_ROWS, MAX_TERMS, LEAST_G, LEAST_ROWS = 20_000, 20_000, 20.0, 3
+#: Labelled rows of a fit, at most; least statistic and support of a term. The rows bound the lexicon: it has no more
+#: terms than they have words and word beginnings.
+MAX_ROWS, LEAST_G, LEAST_ROWS = 20_000, 20.0, 3
 #: Characters of the word beginnings that are terms beside the whole words.
 BEGINNINGS = (4, 5, 6)
-MOST_TOKENS = 400_000
+#: Tokens that a worker remembers, and their characters, at most (beside those of one call).
+MOST_TOKENS, MOST_CHARS = 400_000, 8_000_000
 #: Second-person words of the four languages of the tables.
 SECOND = frozenset(
     "you your yours yourself u ur du dich dir dein deine deinen ihr euch euer sie tu te toi ton ta tes vous votre vos "
@@ -70,7 +72,7 @@ class Features:
     WIDTH = 13
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.seen, self.table = lexicon, {}, np.zeros((1024, self.WIDTH), np.float32)
+        self.lexicon, self.seen, self.table, self.chars = lexicon, {}, np.zeros((1024, self.WIDTH), np.float32), 0
 
     def _token(self, token: str) -> list[float]:
         word, get = bare(token), self.lexicon.get
@@ -102,9 +104,10 @@ class Features:
     def rows(self, texts: list[str]) -> np.ndarray:
         split = [t.split() for t in texts]
         new = set().union(*split).difference(self.seen)
-        if len(self.seen) + len(new) > MOST_TOKENS:
-            self.seen = {}
+        if len(self.seen) + len(new) > MOST_TOKENS or self.chars > MOST_CHARS:
+            self.seen, self.chars = {}, 0
             new = set().union(*split)
+        self.chars += sum(map(len, new))
         need = len(self.seen) + len(new)
         if need > len(self.table):
             more = np.zeros((max(need, 2 * len(self.table)), self.WIDTH), np.float32)
@@ -244,7 +247,7 @@ def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
         found = (
             counted.where(a >= LEAST_ROWS).where(a > (a + b) * share)
             .select("term", g.alias("g"), (F.log((a + 0.5) / (toxic + 1)) - F.log((b + 0.5) / (clean + 1))).alias("weight"))
-            .where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "term").limit(MAX_TERMS)
+            .where(F.col("g") >= LEAST_G)
         )
         out.append({r.term: r.weight for r in found.collect()})
     return out
