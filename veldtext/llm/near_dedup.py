@@ -4,21 +4,22 @@ A document's set is its distinct 5-word shingles. Its signature holds CHUNKS x W
 from the minimum of one hash function over the set. Two signatures that differ in at most CHUNKS * (ERRORS + 1) - 1
 symbols agree, by the pigeonhole principle, up to ERRORS symbols in at least one chunk; with one error allowed, the
 errors are enumerated by leaving out each symbol of a chunk in turn, which gives CHUNKS * WIDTH keys a document. So all
-pairs within that signature distance (19 of 50 symbols) share a key, and nearly all pairs beyond it do too: two sets
-with similarity 0.75 share none with probability 4.4e-5.
+pairs within that signature distance (19 of 50 symbols) share a key, and each of them is confirmed; nearly all pairs
+beyond it share one, too: two sets with similarity 0.75 share none with probability 4.4e-5. Pairs that meet beyond the
+distance are confirmed if a longer signature has them near: of such pairs with similarity 0.75, a part of 2e-5 is not.
 
 Links are confirmed on the full sets. Equal sets are folded first. In hub rounds every document is then checked against
 one member of the buckets that it is in, the one that it shares most buckets with, which joins most of a large group of
 copies by one link each. After that, all pairs that share a bucket and are still in different components are screened by
-longer signatures, in blocks of bounded size, each pair in the first bucket that it shares. What passes is not a list of
+their signatures, in blocks of bounded size, each pair in the first bucket that it shares. What passes is not a list of
 pairs but of documents and components: such a document is confirmed against the members of the component in place, so
 that a group's pairs are looked at and never written down, and no link between components is lost.
 
 The shingles are compared as 64-bit hashes; equal sets are recognised by 128 bits.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer than five words is one
-shingle; repeated ids are one document (the union of their sets is not taken: each row links by its own set, and the
-rows share a component through their id); a row without an id is a document told apart by its text, which links like any
+shingle; rows that repeat an id are one document: each row links by its own set, and all rows of the id, as they have
+the id in common, share a component (those with an empty set as well); a row without an id is a document told apart by its text, which links like any
 other and gives way to a document with an id; in a component of such documents only, component_id is null and the one
 with the least text hash is kept, with all its rows; an empty table gives an empty result; other columns are ignored.
 
@@ -35,17 +36,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldtext.llm.common import materialize
+from veldtext.llm.common import materialize, scratch
 from veldtext.llm.pretokens import held, sliced
 
-CHUNKS, WIDTH = 10, 5
+CHUNKS, WIDTH, ERRORS = 10, 5, 1
 SYMBOLS = CHUNKS * WIDTH
-#: Symbols of the longer signature, whose first SYMBOLS make the keys. Pairs that differ in more than MOST_DIFFERENT
-#: of them are not confirmed: at similarity 0.75 more do with probability 2e-5.
+#: Symbols that two signatures may differ in so that they share a key for certain.
+DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Symbols of the longer signature, whose first SYMBOLS make the keys. Pairs beyond DISTANCE that meet nevertheless are
+#: confirmed if they differ in no more than MOST_DIFFERENT of them.
 SCREEN, MOST_DIFFERENT = 128, 52
-#: Rows of a block when the rest of a bucket is screened; members of a block when a component is confirmed.
-BLOCK, MEMBERS = 2048, 512
-MOST_WORDS = 400_000
+#: Rows of a block when the rest of a bucket is screened; members and guests of a block when a component is confirmed.
+BLOCK, MEMBERS, GUESTS = 2048, 512, 2048
+#: Words that a worker remembers, and their bytes, at most (beside those of one call).
+MOST_WORDS, MOST_BYTES = 400_000, 8_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -63,10 +67,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Sets, signatures, sketches and keys of texts. Word hashes are remembered, up to MOST_WORDS of them."""
+    """Sets, signatures, sketches and keys of texts. Word hashes are remembered."""
 
     def __init__(self, words: int = 5):
-        self.words, self.known = words, {}
+        self.words, self.known, self.size = words, {}, 0
         self.places = _odd(1, words)
         self.functions = _odd(2, SCREEN)
         self.factors = _odd(3, SYMBOLS).reshape(CHUNKS, WIDTH)
@@ -74,9 +78,12 @@ class Shingler:
 
     def _word_hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        if len(known) > MOST_WORDS:
+        if len(known) > MOST_WORDS or self.size > MOST_BYTES:
             known.clear()
-        for w in set(words).difference(known):
+            self.size = 0
+        new = set(words).difference(known)
+        self.size += sum(map(len, new))
+        for w in new:
             known[w] = xxhash.xxh64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
@@ -168,8 +175,9 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether two signatures (rows of symbols) are within the distance that is confirmed."""
-    return (a != b).sum(axis=-1) <= MOST_DIFFERENT
+    """Whether two signatures (rows of symbols) are near enough to be confirmed."""
+    apart = a != b
+    return (apart[..., :SYMBOLS].sum(axis=-1) <= DISTANCE) | (apart.sum(axis=-1) <= MOST_DIFFERENT)
 
 
 def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -384,15 +392,19 @@ def _joined(meets: DataFrame, roots: DataFrame, docs: DataFrame, text_col: str,
     comps = materialize(
         roots.join(meets.select(F.col("b").alias("comp")).distinct(), "comp", "left_semi")
     )
-    counts = materialize(comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks")))
+    members = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
+    guests = meets.groupBy(F.col("b").alias("comp")).agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("guest_blocks"))
+    counts = materialize(members.join(guests, "comp"))
     wanted = meets.select(F.col("a").alias("doc_id")).unionByName(comps.select("doc_id")).distinct()
     sets = materialize(shingle_sets(_wanted(docs, text_col, wanted), words=words))
-    members = comps.join(counts, "comp").select("comp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("j"), F.lit(0).alias("side"), "doc_id")
-    guests = meets.join(counts, meets["b"] == counts["comp"]).select(
-        "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"), F.col("a").alias("doc_id")
-    )
+    own = F.xxhash64("doc_id")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    guest_every = F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1))
+    members = comps.join(counts, "comp").select("comp", F.pmod(own, F.col("blocks")).cast("int").alias("i"), guest_every.alias("j"), F.lit(0).alias("side"), "doc_id")
+    guests = meets.select(F.col("a").alias("doc_id"), F.col("b").alias("comp")).join(counts, "comp")
+    guests = guests.select("comp", every.alias("i"), F.pmod(own, F.col("guest_blocks")).cast("int").alias("j"), F.lit(1).alias("side"), "doc_id")
     blocks = members.unionByName(guests).join(sets, "doc_id")
-    blocks = blocks.select(F.xxhash64("comp", "j").alias("block"), "side", "doc_id", "comp", "own")
+    blocks = blocks.select(F.xxhash64("comp", "i", "j").alias("block"), "side", "doc_id", "comp", "own")
     blocks = blocks.repartition("block").sortWithinPartitions("block", "side")
 
     def confirm(part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -427,11 +439,35 @@ def near_components(
 
 def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, hub_rounds: int = 3) -> DataFrame:
     """What :func:`near_components` returns, and the node of each row. While nodes are linked, they are named doc_id."""
-    every = materialize(signatures(docs, id_col, text_col, words))
-    real = every.where("n > 0")
-    same = materialize(real.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least_id")))
-    own = real.select(F.col("node").alias("doc_id"), "n", "h1", "h2", "sig", "keys")
-    reps = materialize(own.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    with scratch() as keep:
+        every = keep(materialize(signatures(docs, id_col, text_col, words)))
+        real = every.where("n > 0")
+        same = materialize(real.groupBy("h1", "h2", "n").agg(F.min("node").alias("rep"), F.min("doc_id").alias("least_id")))
+        own = real.select(F.col("node").alias("doc_id"), "n", "h1", "h2", "sig", "keys")
+        reps = materialize(own.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        roots = _near_roots(reps, docs, text_col, words, percent, hub_rounds)
+        root_of = roots.select(F.col("doc_id").alias("rep"), "comp")
+        classes = materialize(same.join(root_of, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
+        classes, of_id = _joined_by_id(every, classes)
+        named = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("rep").alias("least_node"))
+        classes = keep(materialize(classes.join(named, "comp").select("h1", "h2", "n", "component_id", "least_node", "comp")))
+        if of_id is not None:
+            names = classes.groupBy("comp").agg(F.min("component_id").alias("id_component"))
+            of_id = keep(materialize(of_id.join(names, "comp").select("doc_id", "id_component")))
+    out = every.select("doc_id", "node", "n", "h1", "h2").join(classes.drop("comp"), ["h1", "h2", "n"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    if of_id is not None:
+        out = out.join(of_id, "doc_id", "left")
+        component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.coalesce("id_component", "doc_id"))
+    alone = component.isNull() & ((F.col("n") == 0) | (F.col("node") == F.col("least_node")))
+    return out.select(
+        "doc_id", "node", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.when(F.col("doc_id").isNull(), alone).otherwise(F.col("doc_id") == component).alias("kept"),
+    )
+
+
+def _near_roots(reps: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int, hub_rounds: int) -> DataFrame:
+    """(doc_id, comp) of the representatives that share a key with another."""
     keyed = reps.select("doc_id", F.posexplode("keys").alias("at", "key"))
     shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key"))
     buckets = materialize(keyed.join(shared, "key", "left_semi"))
@@ -452,24 +488,32 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, words: int, percent: in
         found = materialize(_joined(meets, roots, docs, text_col, words, percent))
         if not found.isEmpty():
             roots = _relabelled(roots, found)
-    root_of = roots.select(F.col("doc_id").alias("rep"), "comp")
-    classes = materialize(same.join(root_of, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
-    named = classes.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.min("rep").alias("least_node"))
-    classes = materialize(classes.join(named, "comp").select("h1", "h2", "n", "component_id", "least_node"))
-    out = every.select("doc_id", "node", "n", "h1", "h2").join(classes, ["h1", "h2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    alone = component.isNull() & ((F.col("n") == 0) | (F.col("node") == F.col("least_node")))
-    return out.select(
-        "doc_id", "node", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.when(F.col("doc_id").isNull(), alone).otherwise(F.col("doc_id") == component).alias("kept"),
-    )
+    return roots
+
+
+def _joined_by_id(every: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """classes with the components united that have an id in common; and (doc_id, comp) of the ids with rows of several
+    sets, None if there are none."""
+    identity = F.struct("h1", "h2", "n")
+    ids = every.where("doc_id is not null").groupBy("doc_id").agg(F.min(identity).alias("low"), F.max(identity).alias("high"))
+    several = materialize(ids.where(~F.col("low").eqNullSafe(F.col("high"))).select("doc_id"))
+    if several.isEmpty():
+        return classes, None
+    own = every.where("n > 0").join(several, "doc_id", "left_semi").select("doc_id", "h1", "h2", "n")
+    own = materialize(own.join(classes.select("h1", "h2", "n", "comp"), ["h1", "h2", "n"]).select("doc_id", "comp").distinct())
+    least = own.groupBy("doc_id").agg(F.min("comp").alias("least"))
+    joined = components(own.join(least, "doc_id").select(F.col("comp").alias("a"), F.col("least").alias("b")))
+    joined = joined.select(F.col("node").alias("comp"), "root")
+    classes, own = (rows.join(joined, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root") for rows in (classes, own))
+    return materialize(classes), materialize(own.select("doc_id", "comp").distinct())
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs that stay, one document of each component: a row goes by its id, or by its text if it has none."""
     kept = _linked(docs, id_col, text_col, words, percent).where("kept")
-    kept = kept.select(F.col("doc_id").alias("kept id"), F.when(F.col("doc_id").isNull(), F.col("node")).alias("kept node")).distinct()
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.when(F.col("doc_id").isNull(), F.col("node")).alias("kept_node")).distinct()
     own, node = F.col(id_col).cast("long"), _node(F.col(text_col))
-    rows = docs.withColumn("own id", own).withColumn("own node", F.when(own.isNull(), node))
-    match = F.col("own id").eqNullSafe(F.col("kept id")) & F.col("own node").eqNullSafe(F.col("kept node"))
-    return rows.join(kept, match, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("whole"), own.alias("own_id"), F.when(own.isNull(), node).alias("own_node"))
+    match = F.col("own_id").eqNullSafe(F.col("kept_id")) & F.col("own_node").eqNullSafe(F.col("kept_node"))
+    return rows.join(kept, match, "left_semi").select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])
