@@ -15,6 +15,8 @@ last; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,18 +73,20 @@ def levels(calls: DataFrame, needs: DataFrame) -> DataFrame:
     loops = needs.where("call_id = needed").select("call_id").distinct()
     edges = edges.join(known, "call_id", "left_semi").join(known.select(F.col("call_id").alias("needed")), "needed", "left_semi")
     edges = materialize(edges.unionByName(loops.select("call_id", F.col("call_id").alias("needed"))))
-    waiting = edges.select("call_id").distinct()
-    settled = materialize(known.join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)))
-    done, left = settled, edges
-    while not left.isEmpty():
-        after = left.join(done.select(F.col("call_id").alias("needed"), "level"), "needed", "left")
-        ready = after.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.count("level").alias("met"), (F.max("level") + 1).alias("level"))
-        new = materialize(ready.where("n = met").select("call_id", "level"))
-        if new.isEmpty():
-            break
-        done = materialize(done.unionByName(new))
-        left = materialize(left.join(new, "call_id", "left_anti"))
-    return known.join(done, "call_id", "left")
+    waiting = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("level"))
+    new = materialize(known.join(waiting, "call_id", "left_anti").withColumn("level", F.lit(0)))
+    done = [new]
+    while not new.isEmpty():
+        # Only what was settled last can settle more; each need counts once.
+        met = edges.join(new.select(F.col("call_id").alias("needed"), "level"), "needed")
+        met = met.groupBy("call_id").agg(F.count(F.lit(1)).alias("met"), (F.max("level") + 1).alias("least"))
+        after = waiting.join(met, "call_id", "left").withColumn("n", F.col("n") - F.coalesce("met", F.lit(0)))
+        after = materialize(after.select("call_id", "n", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level")))
+        new, waiting = after.where("n = 0").select("call_id", "level"), after.where("n > 0")
+        done.append(new)
+        if len(done) == 16:
+            done = [materialize(functools.reduce(DataFrame.unionByName, done))]
+    return known.join(functools.reduce(DataFrame.unionByName, done), "call_id", "left")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema]) -> DataFrame:
