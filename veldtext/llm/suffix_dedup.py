@@ -1,6 +1,6 @@
 """Suffix-array dedup: removes each byte under a 50-byte string that also starts in a document with a smaller id.
 
-1. Blocks. Documents are written in blocks of a megabyte, or of one larger document, compressed, one row each.
+1. Blocks. Documents are written in blocks of two megabytes, or of one larger document, compressed, one row each.
 2. Anchors. The anchor of a 50-byte window is the least hash among its 24-byte strings. Equal windows have equal
    anchors, so a window whose anchor occurs once in the whole table is unique. Each block sends its distinct anchors,
    packed by ranges of the hash; the ranges return those that occur twice or more.
@@ -43,7 +43,7 @@ SPAN = WINDOW - GRAM + 1
 #: Occurrences beyond which an anchor's windows go alone.
 HOT = 50_000
 #: Bytes of texts in a block, and of those whose anchors are in a range on average; windows hashed at a time.
-BLOCK_BYTES, RANGE_BYTES, STEP = 1_000_000, 6_000_000, 1 << 18
+BLOCK_BYTES, RANGE_BYTES, STEP = 2_000_000, 6_000_000, 1 << 18
 #: Of zstandard, for what is written and shuffled.
 LEVEL = 6
 _MAX_ID = 2**63 - 1
@@ -188,13 +188,17 @@ def _short(value: np.ndarray) -> np.ndarray:
 
 
 def _packed(short: np.ndarray) -> bytes:
-    return short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Rising numbers of 48 bits as differences, which are small, byte plane by byte plane."""
+    if not len(short):
+        return b""
+    return _squeezed(np.diff(short, prepend=_U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes())
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1).astype(np.uint64)
+    planes = np.frombuffer(_loose(data), np.uint8).reshape(6, -1).T
+    out = np.zeros((len(planes), 8), np.uint8)
+    out[:, :6] = planes
+    return np.cumsum(out.view("<u8").reshape(-1), dtype=np.uint64)
 
 
 def _squeezed(data: bytes) -> bytes:
@@ -280,7 +284,7 @@ def _shared_anchors(sent: DataFrame) -> DataFrame:
 def _shared_runs(row: dict, hot: bool) -> Iterator[tuple[np.ndarray, ...]]:
     """A block's runs whose anchors are shared, either those of hot anchors or the others; places count in the block."""
     data, ends = _open(row["ends"], row["data"])
-    wanted, often = (np.sort(_unpacked(b"".join(row[c]))) for c in ("value", "hot"))
+    wanted, often = (np.sort(np.concatenate([np.empty(0, np.uint64), *map(_unpacked, row[c])])) for c in ("value", "hot"))
     if hot and not len(often):
         return
     for value, first, n, h, at in runs(data, ends):
