@@ -1,83 +1,79 @@
 """Exact, near and suffix dedup against brute force, with odd rows."""
 
-import hashlib
-import re
 from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from llm_tables import near, prose, table
 from pyspark.sql import functions as F
 
-from veldtext.llm import bwt, exact_dedup, near_dedup, suffix_dedup
-
-BLANK = re.compile("[\x20\x09-\x0d]+")
-
-
-def exact_brute(pairs):
-    groups = {}
-    for i, t in pairs:
-        groups.setdefault(BLANK.sub("", t or ""), []).append((-len(t or ""), i if i is not None else 2**63 - 1, i))
-    out = []
-    for i, t in pairs:
-        norm = BLANK.sub("", t or "")
-        keep = min(groups[norm])[2]
-        out.append((i, keep, len(groups[norm]), i == keep, hashlib.sha256(norm.encode()).hexdigest()))
-    return sorted(out, key=str)
-
+from veldtext.llm import bwt, exact_dedup, language_id, near_dedup, suffix_dedup
 
 def test_exact(spark, odd_pairs):
     got = [tuple(r) for r in exact_dedup.exact_groups(table(spark, odd_pairs)).collect()]
-    assert sorted(got, key=str) == exact_brute(odd_pairs)
+    assert sorted(got, key=str) == brute.exact(odd_pairs)
 
 
 def test_exact_survivors(spark, odd_pairs):
     docs = table(spark, odd_pairs)
     out = exact_dedup.survivors(docs)
     assert out.columns == docs.columns
-    norms = [BLANK.sub("", r.text or "") for r in out.collect()]
-    assert len(norms) == len(set(norms)) == len({BLANK.sub("", t or "") for _, t in odd_pairs})
-
-
-def near_brute(pairs, percent=75):
-    low = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-    sets = []
-    for _, t in pairs:
-        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().translate(low))
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    parent = list(range(len(pairs)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(len(pairs)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
-                if x != y:
-                    first, second = sorted((x, y), key=lambda k: pairs[k][0])
-                    parent[second] = first
-    return {i: (len(s), pairs[find(k)][0]) for k, ((i, _), s) in enumerate(zip(pairs, sets, strict=True))}
+    norms = [brute.BLANK.sub("", r.text or "") for r in out.collect()]
+    assert len(norms) == len(set(norms)) == len({brute.BLANK.sub("", t or "") for _, t in odd_pairs})
+
+
+def near_rows(rows):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows), key=str)
 
 
 def test_near(spark, odd_pairs):
-    pairs = [(i, t) for i, t in odd_pairs if i is not None]
-    got = near_dedup.near_components(table(spark, pairs)).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute(pairs) and len(got) == len(pairs)
-    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    got = near_dedup.near_components(table(spark, odd_pairs)).collect()
+    assert near_rows(got) == sorted(brute.near(odd_pairs), key=str)
 
 
-def test_near_rest_in_small_blocks(spark, monkeypatch):
-    """A group in which many are not near the hub: the exhaustive part decides, in blocks of three."""
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_near_rest_in_small_blocks(spark, monkeypatch, seed):
+    """A group in which many are not near the hub: the exhaustive part decides, in blocks of few members and guests."""
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     monkeypatch.setattr(near_dedup, "MEMBERS", 2)
-    base = prose(1, 100, 3000)
-    pairs = [(k, near(base, k, 1 + k % 8)) for k in range(60)]
+    monkeypatch.setattr(near_dedup, "GUESTS", 3)
+    base = prose(seed, 100, 3000)
+    pairs = [(k, near(base, 100 * seed + k, 1 + k % 8)) for k in range(60)]
     got = near_dedup.near_components(table(spark, pairs), hub_rounds=1).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_brute(pairs)
+    assert near_rows(got) == sorted(brute.near(pairs), key=str)
+
+
+def test_near_links_through_ids(spark):
+    """Rows that repeat an id with other texts: each links by its own set, and all of them by the id."""
+    one, two, three = (prose(600 + k, 100, 3000) for k in range(3))
+    pairs = [(5, one), (5, two), (7, near(one, 1, 1)), (9, near(two, 2, 1)), (3, near(two, 3, 1)), (5, ""), (6, three), (6, three), (8, None), (8, three)]
+    docs = table(spark, pairs)
+    got = near_dedup.near_components(docs).collect()
+    assert near_rows(got) == sorted(brute.near(pairs), key=str)
+    assert {r.doc_id: r.component_id for r in got} == {3: 3, 5: 3, 7: 3, 9: 3, 6: 6, 8: 6}
+    assert sorted((r.doc_id, r.text) for r in near_dedup.survivors(docs).collect()) == [(3, pairs[4][1]), (6, three), (6, three)]
+
+
+def test_all_pairs_within_the_distance_are_confirmed():
+    """Of two signatures that differ in DISTANCE of the symbols that make the keys, in any of them, a key is shared and
+    the pair is confirmed, whatever the rest of the longer signature says."""
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = rng.integers(0, 2**16, near_dedup.SCREEN).astype(np.uint16)
+        b = rng.integers(0, 2**16, near_dedup.SCREEN).astype(np.uint16)
+        b[: near_dedup.SYMBOLS] = a[: near_dedup.SYMBOLS]
+        b[rng.choice(near_dedup.SYMBOLS, near_dedup.DISTANCE, replace=False)] += 1
+        assert near_dedup._near(a, b) and near_dedup._meeting(a[None], b[None])[0] >= 0
+
+
+def test_survivors_with_clashing_names(spark, odd_pairs):
+    names = ["row key", "own id", "own node", "kept id", "own_id", "kept_id", "whole", "node", "text key"]
+    docs = table(spark, odd_pairs[:40]).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for out in (near_dedup.survivors(docs), exact_dedup.survivors(docs), language_id.survivors(docs)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
 
 
 def test_components(spark):
@@ -109,25 +105,6 @@ def test_near_survivors_without_ids(spark, odd_pairs):
     assert sum(r.kept for r in rows) == len(got)
 
 
-def suffix_brute(pairs, window=50):
-    order = lambda i: i if i is not None else 2**63 - 1
-    first = {}
-    for i, t in sorted(pairs, key=lambda p: order(p[0])):
-        b = (t or "").encode()
-        for p in range(len(b) - window + 1):
-            first.setdefault(b[p : p + window], order(i))
-    out = []
-    for i, t in pairs:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for p in range(len(b) - window + 1):
-            if first[b[p : p + window]] < order(i):
-                gone[p : p + window] = b"\1" * window
-        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    return sorted(out, key=str)
-
-
 @pytest.mark.parametrize(("hot", "block", "shard"), [(50_000, 600_000, 1 << 18), (2, 3_000, 400), (50_000, 1, 2_000)])
 def test_suffix(spark, odd_pairs, monkeypatch, hot, block, shard):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
@@ -137,7 +114,7 @@ def test_suffix(spark, odd_pairs, monkeypatch, hot, block, shard):
     pairs = [(i, t) for i, t in odd_pairs if i != 97]
     pairs += [(110, odd_pairs[0][1] + " other"), (110, odd_pairs[1][1] + " text"), (None, "x" * 70), (None, "x" * 70), (111, "x" * 300), (112, "xyz" * 90)]
     got = [tuple(r) for r in suffix_dedup.remove_repeats(table(spark, pairs)).collect()]
-    assert sorted(got, key=str) == suffix_brute(pairs)
+    assert sorted(got, key=str) == brute.suffix(pairs)
 
 
 def test_suffix_survivors(spark, odd_pairs):

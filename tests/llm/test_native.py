@@ -1,11 +1,14 @@
 """Quality rules, sharding and tool calls."""
 
 import json
+import random
 import re
 import zlib
 from collections import Counter
 from math import comb
+from statistics import median
 
+import numpy as np
 from llm_tables import prose, table
 from pyspark.sql import functions as F
 
@@ -34,7 +37,7 @@ def test_features(spark, odd_pairs):
 
 
 def test_tail(spark):
-    cases = [(50, 0), (50, 3), (1000, 2), (20, 20), (1, 0)]
+    cases = [(50, 0), (50, 3), (50, 49), (1000, 2), (1000, 45), (1000, 200), (1, 1), (20, 20), (1, 0), (0, 0), (21, 1)]
     rows = spark.createDataFrame(cases, "n long, x long").select("n", "x", quality._tail(F.col("n"), F.col("x"), 0.05).alias("p")).collect()
     for r in rows:
         want = sum(comb(r.n, k) * 0.05**k * 0.95 ** (r.n - k) for k in range(r.x + 1))
@@ -51,11 +54,61 @@ def test_rules_are_bounded_in_each_stratum(spark):
     kept = {r.doc_id: r.kept for r in rows}
     assert not any(kept[i] for i, _ in bad)
     for half in (0, 1):
-        assert sum(not kept[i] for i, _ in good if i % 2 == half) <= 0.01 * 1500 * len(quality.MEASURES)
+        assert sum(not kept[i] for i, _ in good if i % 2 == half) <= 0.01 * 1500
     limits = quality.cutoffs(quality.features(docs, stratum_col="lang"), labels).collect()
     assert {r.stratum for r in limits} == {"", "en"} and all(r.n_rejected <= 0.01 * r.n_good for r in limits)
 
 
+def test_verdict_by_brute_force(spark):
+    """Levels, tails and verdicts by their definition: en is large enough for rules, de and null are not."""
+    rng = random.Random(11)
+    pairs, labels = [], []
+    for k in range(900):
+        words = prose(k, 70, 4000).split()
+        if k % 9 == 0:
+            words = [w + rng.choice(("#", "!", "", "$$")) for w in words]
+        elif k % 50 == 1:
+            words += words[:20]
+        elif k % 50 == 2:
+            words = [w.upper() if rng.random() < 0.2 else w for w in words]
+        pairs.append((k, " ".join(words[: 40 if k % 31 == 0 else None])))
+        labels.append((k, int(k % 9 != 0)))
+    lang = {k: "en" if k < 700 else "de" if k < 850 else None for k in range(900)}
+    base = table(spark, pairs)
+    docs = base.withColumn("lang", F.when(F.col("doc_id") < 700, "en").when(F.col("doc_id") < 850, "de"))
+    proposes = {r.doc_id: r.p for r in docs.select("doc_id", (F.pmod(F.xxhash64("doc_id"), F.lit(quality.PROPOSE)) == 0).alias("p")).collect()}
+    measure, failed = {}, {}
+    for k, text in pairs:
+        n, chars, symbols, dups, repeats, failed[k] = counts(text)
+        upper, marks = sum(c.isupper() for c in text), sum(c in "!?" for c in text)
+        measure[k] = [symbols / chars, repeats / n, dups / 1, upper / chars, marks / n, chars / n, -chars / n]
+    cuts = {}
+    strata = {s: [k for k in measure if (lang[k] or "") == s and not failed[k]] for s in ("en", "de", "")}
+    for s, rows in strata.items():
+        good = [k for k in rows if labels[k][1]]
+        first, test = [k for k in good if proposes[k]], [k for k in good if not proposes[k]]
+        if not first:
+            continue
+        top = [max(measure[k][m] for k in first) for m in range(7)]
+        spread = [max(top[m] - median(measure[k][m] for k in first), least) for m, (_, least) in enumerate(quality.MEASURES.values())]
+        best = None
+        for level in quality.LEVELS:
+            cut = [t + x * level for t, x in zip(top, spread, strict=True)]
+            beyond = lambda k: any(v > c for v, c in zip(measure[k], cut, strict=True))  # noqa: B023, E731
+            x, n = sum(map(beyond, test)), len(test)
+            if sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(x + 1)) > 0.05 / 3:
+                break
+            bad = sum(beyond(k) for k in rows if not labels[k][1])
+            if best is None or bad > best[0]:
+                best = bad, cut
+        if best:
+            cuts[s] = best[1]
+    assert all(any(proposes[k] and labels[k][1] for k in rows) for rows in strata.values()) and cuts.keys() == {"en"}
+    want = {k: not failed[k] and not any(v > c for v, c in zip(measure[k], cuts.get(lang[k] or "", [9e9] * 7), strict=True)) for k in measure}
+    got = {r.doc_id: r.kept for r in quality.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int"), risk=0.02).collect()}
+    assert got == want and sum(want.values()) < sum(not f for f in failed.values())
+
+
 def test_rules_without_labels(spark, odd_pairs):
     docs = table(spark, odd_pairs)
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -64,9 +117,36 @@ def test_rules_without_labels(spark, odd_pairs):
     assert not quality.quality_rules(docs.where("false"), none).collect()
 
 
-def test_longest_first():
-    placed = sharding.schedule([(7, "a"), (6, "b"), (5, "c"), (5, "d"), (4, "e")], 2)
-    assert placed == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
+def one_by_one(sizes, n_shards):
+    """Longest processing time first, a group at a time: the shard of each of the falling sizes."""
+    loads, out = [0] * n_shards, []
+    for size in sorted(sizes, reverse=True):
+        shard = loads.index(min(loads))
+        loads[shard] += size
+        out.append(shard)
+    return out
+
+
+def test_schedule_is_that_of_all_groups_one_by_one():
+    rng = random.Random(4)
+    for trial in range(300):
+        sizes = [rng.randint(1, (3, 40, 1000)[trial % 3]) for _ in range(rng.randint(0, 200))] + [rng.randint(1, 9000)] * (trial % 4)
+        sizes += [7] * rng.choice((0, 500))
+        n = rng.choice((1, 2, 5, 16))
+        plan = sharding.schedule(list(Counter(sizes).items()), n)
+        assert sharding.shard_of(plan, np.arange(len(sizes))).tolist() == one_by_one(sizes, n)
+
+
+def test_placed_groups(spark, monkeypatch):
+    """Sizes of many groups in several parts: each size has as many groups in each shard as one by one."""
+    monkeypatch.setattr(sharding, "PART", 20)
+    rng = random.Random(6)
+    sizes = [rng.choice((5, 5, 5, 9, 12, 700, rng.randint(1, 60))) for _ in range(600)]
+    groups = spark.createDataFrame([(bytearray(zlib.crc32(b"%d" % k).to_bytes(4, "big") + b"%d" % k), s) for k, s in enumerate(sizes)], "grp binary, bytes long")
+    rows = sharding.placed_groups(groups, 5).join(groups, "grp").collect()
+    assert len(rows) == 600
+    want = Counter(zip(sorted(sizes, reverse=True), one_by_one(sizes, 5), strict=True))
+    assert Counter((r.bytes, r.shard) for r in rows) == want
 
 
 def test_shards(spark, odd_pairs):
@@ -81,9 +161,13 @@ def test_shards(spark, odd_pairs):
     for s in set(shard_of.values()):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
-    largest = max(r.size for r in rows)
-    rest = [loads[s] for s in range(16) if loads[s] < largest]
-    assert max(rest) - min(rest) <= max(60, 0.02 * max(rest))
+    groups = Counter()
+    for _, t in pairs:
+        groups[t or ""] += len((t or "").encode()) + 1
+    want = Counter()
+    for size, shard in zip(sorted(groups.values(), reverse=True), one_by_one(groups.values(), 16), strict=True):
+        want[shard] += size
+    assert loads == want
     assert not sharding.shard_documents(table(spark, pairs).where("false")).collect()
 
 

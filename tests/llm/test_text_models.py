@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
+import brute
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -16,6 +18,7 @@ from veldtext.llm.byte_bpe import ByteBpe, encode_documents, model_bytes
 
 ODD = [
     "", " ", "  ", "a  b", " a", "a ", "a \n b", "a\n \nb", "a\n\n  b", "don't  stop\t x\x00\x7f", "é è   x", "foo\n bar", "<|endoftext|> x <|endoftext|>",
+    " <|endoftext|>", "a  <|endoftext|> b", "<|endoftext|> ", " <|endoftext|>x  ", "\n<|endoftext|><|endoftext|>\n \n", "<|endoftext", "|endoftext|>  <|",
     "a <|endoftext|>b", "x　 y", " \n", "\n ", "日本 語テキ スト", "🙂 🙂🙂  🙂", "'s 's", "a's 's b", "x   y", "x   y", "a" * 5000,
 ]
 
@@ -48,8 +51,9 @@ def test_encoded_documents(spark, odd_pairs):
         assert r.n_tokens == len(r.ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest()
 
 
-def test_small_memory(monkeypatch):
-    monkeypatch.setattr(pretokens, "MOST_CHUNKS", 7)
+@pytest.mark.parametrize(("name", "most"), [("MOST_CHUNKS", 7), ("MOST_CHARS", 40)])
+def test_small_memory(monkeypatch, name, most):
+    monkeypatch.setattr(pretokens, name, most)
     bpe = ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     for t in (prose(1, 40), prose(2, 40), prose(1, 40), *ODD):
         assert bpe.decode(bpe.encode([t])[0]) == t.encode() and len(bpe.memo.seen) <= 60
@@ -61,28 +65,31 @@ def test_pieces(spark, odd_pairs):
     pairs = [p for k, p in enumerate(odd_pairs) if p[0] is not None and p not in odd_pairs[:k]] + [(1000 + k, t) for k, t in enumerate(ODD)]
     for i, t in pairs:
         want[i] = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
-    rows = packing.pack_documents(table(spark, pairs), path, P.PATTERN).collect()
+    brute.packed(packing.pack_documents(table(spark, pairs), path, P.PATTERN).collect(), want)
+
+
+def test_ids_with_special_tokens_in_any_place():
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "a", "the cat", "<|", "endoftext", "|>", "\t", "é", "'s"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(2000)]
+    path = P.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    got = packing.JsonTokenizer(path, P.PATTERN).encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_runs_of_one_length(spark, monkeypatch):
+    """Lengths with many pieces are numbered in several runs."""
+    monkeypatch.setattr(packing, "RUN_PIECES", 7)
+    lengths = [5] * 100 + [3] * 50 + [8, 9, 10] + [7] * 6
+    pieces = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    rows = packing.pack(pieces, 10).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(lengths)))
     bins = {}
-    for r in sorted(rows, key=lambda r: r.start):
-        ids = want[r.doc_id][r.start : r.start + r.length]
-        assert len(ids) == r.length and zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
-        assert r.length == 1024 or r.piece == 0
+    for r in rows:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert sum(r.length for r in rows) == sum(map(len, want.values()))
-    for parts in bins.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 1024
-    first_fit = []
-    for length in sorted((r.length for r in rows), reverse=True):
-        at = next((k for k, used in enumerate(first_fit) if used + length <= 1024), None)
-        if at is None:
-            first_fit.append(length)
-        else:
-            first_fit[at] += length
-    assert len(bins) <= len(first_fit)
+    assert all([o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 10 for b in bins.values())
+    assert len(bins) == 50 + 6 + 15 + 3  # two fives; a seven and a three; three threes at a time; the rest
 
 
 def test_fullest_is_a_subset_sum():
