@@ -390,6 +390,29 @@ def signature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(h.hex(), k) for k, h in enumerate(found.hashes)], "line_hash string, place long")
 
 
+@query(
+    f"""WITH {_PATTERNS}, {_BITS} SELECT 1 AS version, '{SALT.hex()}' AS salt, m AS bits, k AS hashes, 34 + m // 8 + 32 * c AS seal_at,
+            34 + m // 8 + 32 * c + 32 AS bytes, TRUE AS sealed, FALSE AS other_key, FALSE AS damaged
+        FROM sized, (SELECT count(*) AS c FROM pats)"""
+)
+def signature_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header of the compiled container, its size, and whether its seal holds, with another key, and after damage."""
+    from veldtext.sources import signatures as S
+
+    def holds(data: bytes, key: bytes) -> bool:
+        try:
+            S.verify(data, key)
+        except S.SignatureError:
+            return False
+        return True
+
+    data = S.to_bytes(_signatures(spark, sf_dir), b"key")
+    magic, version, salt, bits, hashes, at = S.HEADER.unpack_from(data)
+    damaged = data[:-40] + bytes([data[-40] ^ 1]) + data[-39:]
+    row = (version, salt.hex(), bits, hashes, at, len(data), magic == S.MAGIC and holds(data, b"key"), holds(data, b"other"), holds(damaged, b"key"))
+    return spark.createDataFrame([row], "version int, salt string, bits long, hashes long, seal_at long, bytes long, sealed boolean, other_key boolean, damaged boolean")
+
+
 _SIZES = ((1000, 0.01), (100, 0.01), (10000, 0.01), (1, 0.01), (0, 0.01), (100, -1.0), (100, 2.0), (298980, 0.001))
 
 
@@ -517,6 +540,17 @@ def console_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _results(spark, sf_dir).where("severity >= 1").select("path", report.console_line().alias("text"))
 
 
+@query(
+    f"""{_ALL} SELECT path, '{{"path":' || to_json(path) || ',"score":' || score || ',"severity":' || severity
+        || CASE WHEN findings <> '' THEN ',"findings":' || to_json(string_split(findings, ' + ')) ELSE '' END
+        || CASE WHEN line > 0 THEN ',"line":' || line ELSE '' END || '}}' AS text FROM named"""
+)
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each result as a line of JSON."""
+    rows = _results(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return rows.select("path", report.result_json().alias("text"))
+
+
 @query(f"{_ALL}, twice AS (SELECT path, score FROM named UNION ALL SELECT path, score FROM named) SELECT path, score, count(*) AS n FROM twice GROUP BY ALL")
 def multi_path_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same source twice: its files count twice."""
