@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veldtext.llm.common import small
 from veldtext.llm.pretokens import ChunkMemo, held, sliced
 
 #: Byte b is the character 256 + b: a letter, never a space or a control character.
@@ -113,7 +114,7 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(ByteBpe, path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             at = 0
             for texts in sliced([t or "" for t in batch.column(1).to_pylist()]):
                 n, shas, back, all_ids, decoded = [], [], [], [], []

@@ -107,6 +107,13 @@ def trimmed(batches: Iterator) -> Iterator:
         trim()
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, so that what is made of texts is not made of thousands of them at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def squeezed(text: Column) -> Column:
     """text without any white space; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -33,12 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from veldtext.llm.common import materialize
-from veldtext.llm.pretokens import sliced
+from veldtext.llm.common import materialize, small, trimmed
+from veldtext.llm.pretokens import forget, sliced
 
 #: Hashed trigrams of a model; languages whose counts are held at once; words remembered by a worker, the numbers
 #: remembered for them, and their characters (beside those of one call).
-BUCKETS, SLICE, MOST_WORDS, MOST_NUMBERS, MOST_CHARS = 1 << 15, 32, 300_000, 20_000_000, 8_000_000
+BUCKETS, SLICE, MOST_WORDS, MOST_NUMBERS, MOST_CHARS = 1 << 15, 32, 200_000, 20_000_000, 8_000_000
 NONE = "und"
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _TAGS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
@@ -58,6 +58,7 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
     """(lang, bucket, n) over all rows (text, lang); each task sends its own sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sums: dict[str, np.ndarray] = {}
         pending: dict[str, Counter] = {}
 
@@ -72,13 +73,12 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
                 if lang not in sums and len(sums) >= 2 * SLICE:
                     yield from sent()
                 total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                pairs = [(b, n) for w, n in words.items() for b in buckets(w)]
-                if pairs:
-                    at, n = np.array(pairs, np.int64).T
-                    total += np.bincount(at, n, BUCKETS).astype(np.int64)
+                at = np.fromiter((b for w in words for b in buckets(w)), np.int64)
+                n = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+                total += np.bincount(at, n, BUCKETS).astype(np.int64)
             pending.clear()
 
-        for batch in batches:
+        for batch in small(batches):
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 pending.setdefault(lang, Counter()).update(words_of(text))
             if sum(map(len, pending.values())) > MOST_WORDS:
@@ -86,7 +86,7 @@ def trigram_counts(rows: DataFrame) -> DataFrame:
         yield from settle()
         yield from sent()
 
-    return rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
@@ -123,9 +123,10 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
     shipped = rows.sparkSession.sparkContext.broadcast(model.T.copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         table, seen, known, chars = shipped.value, {}, np.empty((1024, model_rows), np.float32), 0
         most = min(MOST_WORDS, MOST_NUMBERS // model_rows)
-        for batch in batches:
+        for batch in small(batches):
             found = []
             for texts in sliced([t or "" for t in batch.column("text").to_pylist()]):
                 split = [words_of(t) for t in texts]
@@ -151,7 +152,7 @@ def text_likelihoods(rows: DataFrame, model: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "ll"])
 
     model_rows = len(model)
-    return rows.mapInArrow(run, rows.select(*names).schema.add("ll", ArrayType(DoubleType())))
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), rows.select(*names).schema.add("ll", ArrayType(DoubleType())))
 
 
 def _by_language(n_langs: int, counts: Column) -> Column:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldtext.llm.common import materialize, scratch
+from veldtext.llm.common import materialize, scratch, small
 from veldtext.llm.pretokens import held, sliced
 
 CHUNKS, WIDTH, ERRORS = 10, 5, 1
@@ -133,7 +133,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = held(Shingler, words)
-        for batch in batches:
+        for batch in small(batches):
             at = 0
             for texts in sliced([t or "" for t in batch.column(1).to_pylist()]):
                 sets = shingler.sets(texts)
@@ -162,7 +162,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = held(Shingler, words)
-        for batch in batches:
+        for batch in small(batches):
             at = 0
             for texts in sliced([t or "" for t in batch.column(1).to_pylist()]):
                 sets = [own.tobytes() for own in shingler.sets(texts)]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldtext.llm.common import materialize
+from veldtext.llm.common import materialize, small
 from veldtext.llm.pretokens import ChunkMemo, held, sliced
 
 #: Pieces of one length that are numbered in one run, on average. A row for each run, and size more, are broadcast.
@@ -86,7 +86,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held(JsonTokenizer, path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             names, at = batch.column(0).to_pylist(), 0
             for texts in sliced([t or "" for t in batch.column(1).to_pylist()]):
                 ids, pieces, starts, lengths, crcs, data = [], [], [], [], [], []

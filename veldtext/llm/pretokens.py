@@ -7,12 +7,13 @@ need not be encoded again. The chunks that are remembered are bounded by number
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterable
 
 import regex
 
+from veldtext.llm.common import trim
+
 #: White space other than the plain space.
 _OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEFORE_SPACE = tuple(c + " " for c in _OTHER_SPACES)
@@ -71,7 +72,20 @@ def sliced(texts: list, most_chars: int = 4_000_000) -> Iterable[list]:
         yield run
 
 
-@functools.cache
+_held: dict = {}
+
+
 def held(make: Callable, *args):
-    """make(*args), made once in each Python worker."""
-    return make(*args)
+    """make(*args), made once in each Python worker and kept until it is asked for something else, or to forget it."""
+    key = (make, args)
+    if key not in _held:
+        forget()
+        _held[key] = make(*args)
+    return _held[key]
+
+
+def forget() -> None:
+    """Let go of what an earlier operator has left in this worker, which Spark uses again."""
+    if _held:
+        _held.clear()
+        trim()

@@ -34,7 +34,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldtext.llm.bwt import repeats
-from veldtext.llm.common import materialize, release, trim, trimmed
+from veldtext.llm.common import materialize, release, small, trim, trimmed
+from veldtext.llm.pretokens import forget
 
 #: Bytes of a repeated string, and of the strings whose least hash is a window's anchor (a multiple of 8).
 WINDOW, GRAM = 50, 24
@@ -151,8 +152,9 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         block, part, size = TaskContext.get().partitionId() << 32, [], 0
-        for batch in batches:
+        for batch in small(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part and size + len(row[2]) > BLOCK_BYTES:
                     yield pack(part, block)
@@ -228,6 +230,7 @@ def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _rows(batches: Iterator[pa.RecordBatch], work, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A batch of what work gives for each row (a list of dicts)."""
+    forget()
     for batch in batches:
         for k in range(batch.num_rows):
             out = work(batch.slice(k, 1).to_pylist()[0])

@@ -29,8 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldtext.llm.common import materialize
-from veldtext.llm.pretokens import sliced
+from veldtext.llm.common import materialize, small, trimmed
+from veldtext.llm.pretokens import forget, sliced
 
 #: Labelled rows of a fit, at most; least statistic and support of a term. The rows bound the lexicon: it has no more
 #: terms than they have words and word beginnings.
@@ -213,8 +213,9 @@ def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
     """Lexicons of fold 0, of fold 1 and of both; rows: text, toxic, fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         counts = Counter()
-        for batch in batches:
+        for batch in small(batches):
             for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = {bare(t) for t in set((text or "").split())} - {""}
                 own = {t for w in words for t in terms_of(w)}
@@ -272,8 +273,9 @@ def _feature_rows(rows: DataFrame, lexicons: list[dict[str, float]]) -> DataFram
     shipped = rows.sparkSession.sparkContext.broadcast(lexicons)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         own = [Features(lexicon) for lexicon in shipped.value]
-        for batch in batches:
+        for batch in small(batches):
             text, toxic, fold = (c.to_pylist() for c in batch.columns)
             found = [own[1 - f].rows([t or ""])[0].tolist() for t, f in zip(text, fold, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "fold"])
@@ -317,16 +319,17 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     shipped = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = shipped.value
         features = Features(model.lexicon)
-        for batch in batches:
+        for batch in small(batches):
             found = [model.scores(features.rows(texts)) for texts in sliced([t or "" for t in batch.column(2).to_pylist()])]
             scores = np.concatenate(found) if found else np.empty(0)
             columns = [batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= least).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (remainder(F.col(id_col)) == 1).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
