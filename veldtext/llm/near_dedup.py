@@ -48,6 +48,8 @@ DISTANCE = CHUNKS * (ERRORS + 1) - 1
 SCREEN, MOST_DIFFERENT = 128, 52
 #: Rows of a block when the rest of a bucket is screened; members and guests of a block when a component is confirmed.
 BLOCK, MEMBERS, GUESTS = 2048, 512, 2048
+#: Numbers of documents that are broadcast, at most: 8 bytes each, some 40 in a table.
+MOST_BROADCAST = 1_000_000
 #: Words that a worker remembers, and their bytes, at most (beside those of one call).
 MOST_WORDS, MOST_BYTES = 400_000, 8_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -123,7 +125,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _wanted(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
-    """The text of each of the nodes (doc_id)."""
+    """The text of each of the nodes (doc_id). Up to MOST_BROADCAST nodes go to the texts, and not the texts to them."""
+    nodes = materialize(nodes.distinct())
+    if nodes.count() <= MOST_BROADCAST:
+        nodes = F.broadcast(nodes)
     texts = docs.select(_node(F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
     return texts.join(nodes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
@@ -180,8 +185,14 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (apart[..., :SYMBOLS].sum(axis=-1) <= DISTANCE) | (apart.sum(axis=-1) <= MOST_DIFFERENT)
 
 
+def _likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the longer signatures are near: most such pairs have the similarity."""
+    return (a != b).sum(axis=-1) <= MOST_DIFFERENT
+
+
 def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and signatures allow the similarity."""
+    """Of pairs (a, b) of a document and its hub, those that are likely to have the similarity. What goes here is not
+    lost: it still meets in its buckets."""
     one = reps.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = reps.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     rows = pairs.join(one, "a").join(two, "b").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
@@ -189,7 +200,7 @@ def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sigs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SCREEN) for c in (2, 3)]
-            near = pa.array(_near(*sigs))
+            near = pa.array(_likely(*sigs))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
 
     return rows.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -197,7 +208,7 @@ def _screened(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets have the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     sets = materialize(shingle_sets(_wanted(docs, text_col, wanted), words=words))
     one = sets.select(F.col("doc_id").alias("a"), F.col("own").alias("own_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("own").alias("own_b"))
@@ -395,7 +406,7 @@ def _joined(meets: DataFrame, roots: DataFrame, docs: DataFrame, text_col: str,
     members = comps.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("blocks"))
     guests = meets.groupBy(F.col("b").alias("comp")).agg(F.ceil(F.count(F.lit(1)) / GUESTS).cast("int").alias("guest_blocks"))
     counts = materialize(members.join(guests, "comp"))
-    wanted = meets.select(F.col("a").alias("doc_id")).unionByName(comps.select("doc_id")).distinct()
+    wanted = meets.select(F.col("a").alias("doc_id")).unionByName(comps.select("doc_id"))
     sets = materialize(shingle_sets(_wanted(docs, text_col, wanted), words=words))
     own = F.xxhash64("doc_id")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
