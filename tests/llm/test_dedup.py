@@ -38,6 +38,7 @@ def test_near_rest_in_small_blocks(spark, monkeypatch, seed):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     monkeypatch.setattr(near_dedup, "MEMBERS", 2)
     monkeypatch.setattr(near_dedup, "GUESTS", 3)
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", 20 * (seed - 1))
     base = prose(seed, 100, 3000)
     pairs = [(k, near(base, 100 * seed + k, 1 + k % 8)) for k in range(60)]
     got = near_dedup.near_components(table(spark, pairs), hub_rounds=1).collect()
