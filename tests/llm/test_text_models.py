@@ -78,6 +78,15 @@ def test_ids_with_special_tokens_in_any_place():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize(("name", "most"), [("MOST_CHUNKS", 5), ("MOST_CHARS", 40)])
+def test_ids_with_a_small_memory(monkeypatch, name, most):
+    monkeypatch.setattr(pretokens, name, most)
+    path = P.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), packing.JsonTokenizer(path, P.PATTERN)
+    for t in [prose(1, 40), prose(2, 40), prose(1, 40), *ODD, prose(2, 40)]:
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_runs_of_one_length(spark, monkeypatch):
     """Lengths with many pieces are numbered in several runs."""
     monkeypatch.setattr(packing, "RUN_PIECES", 7)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldtext.llm.common import materialize, small
-from veldtext.llm.pretokens import ChunkMemo, held, sliced
+from veldtext.llm.pretokens import ChunkIds, held, sliced
 
 #: Pieces of one length that are numbered in one run, on average. A row for each run, and size more, are broadcast.
 RUN_PIECES = 5_000
@@ -43,7 +43,7 @@ class JsonTokenizer:
         self.model, self.between = Tokenizer.from_file(path), between
         self.end = self.model.token_to_id(between)
         self.added = [token.content for token in self.model.get_added_tokens_decoder().values()]
-        self.memo = ChunkMemo(self._encode_chunks, pattern)
+        self.memo = ChunkIds(self._encode_chunks, pattern)
 
     def _one(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
@@ -67,8 +67,8 @@ class JsonTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """A text that holds an added token goes whole to the library, which cuts it there before all else."""
         whole = [any(token in t for token in self.added) for t in texts]
-        values = self.memo.values("" if w else t for w, t in zip(whole, texts, strict=True))
-        return [np.array(self._one(t), "<u4").tobytes() if w else b"".join(v) for w, t, v in zip(whole, texts, values, strict=True)]
+        plain = self.memo.ids("" if w else t for w, t in zip(whole, texts, strict=True))
+        return [np.array(self._one(t), "<u4").tobytes() if w else ids for w, t, ids in zip(whole, texts, plain, strict=True)]
 
 
 def token_pieces(

@@ -7,9 +7,11 @@ need not be encoded again. The chunks that are remembered are bounded by number
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import regex
 
 from veldtext.llm.common import trim
@@ -23,11 +25,11 @@ _BETWEEN = re.compile(f"[{_OTHER_SPACES}] [{_OTHER_SPACES}]")
 MOST_CHUNKS, MOST_CHARS = 250_000, 4_000_000
 
 
-class ChunkMemo:
-    """value_of(list of chunks) gives a value for each; values() gives those of a text's chunks."""
+class Cutter:
+    """Cuts texts into chunks for one pattern of pre-tokens."""
 
-    def __init__(self, value_of: Callable[[list[str]], list], pattern: str):
-        self.value_of, self.pattern, self.seen, self.older, self.chars = value_of, regex.compile(pattern), {}, {}, 0
+    def __init__(self, pattern: str):
+        self.pattern = regex.compile(pattern)
 
     def keys(self, text: str) -> list:
         """A string stands for the chunk with a space before it, a tuple for one without.
@@ -39,6 +41,18 @@ class ChunkMemo:
             return [t[1:] if t[0] == " " and len(t) > 1 else (t,) for t in self.pattern.findall(text)]
         return [(head,), *rest]
 
+    @staticmethod
+    def chunk(key: str | tuple) -> str:
+        return key[0] if isinstance(key, tuple) else " " + key
+
+
+class ChunkMemo(Cutter):
+    """value_of(list of chunks) gives a value for each; values() gives those of a text's chunks."""
+
+    def __init__(self, value_of: Callable[[list[str]], list], pattern: str):
+        super().__init__(pattern)
+        self.value_of, self.seen, self.older, self.chars = value_of, {}, {}, 0
+
     def values(self, texts: Iterable[str]) -> list[list]:
         keyed = [self.keys(t) if t else [] for t in texts]
         new = set().union(*keyed).difference(self.seen)
@@ -53,12 +67,72 @@ class ChunkMemo:
             new -= known
         if new:
             new = list(new)
-            chunks = [k[0] if isinstance(k, tuple) else " " + k for k in new]
-            self.seen.update(zip(new, self.value_of(chunks), strict=True))
+            self.seen.update(zip(new, self.value_of(list(map(self.chunk, new))), strict=True))
         get = self.seen.__getitem__
         return [list(map(get, k)) for k in keyed]
 
 
+class Numbers(dict):
+    """Numbers keys from 0 as they are asked for; new has those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        number = self[key] = len(self)
+        return number
+
+
+class ChunkIds(Cutter):
+    """value_of(list of chunks) gives the ids of each as little-endian 32-bit numbers; ids() gives those of texts.
+
+    A chunk is looked up once, and the ids of all texts are gathered at a time. At the bounds the chunks that came first
+    stay, as the frequent ones do.
+    """
+
+    def __init__(self, value_of: Callable[[list[str]], list[bytes]], pattern: str):
+        super().__init__(pattern)
+        self.value_of = value_of
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers, self.chars = Numbers(), 0
+        self.flat, self.starts = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def _shrink(self) -> None:
+        old, flat, starts = self.numbers, self.flat, self.starts
+        self._clear()
+        for key in itertools.islice(old, MOST_CHUNKS // 2):
+            self.chars += len(key) if isinstance(key, str) else len(key[0])
+            if self.chars > MOST_CHARS // 2:
+                break
+            dict.__setitem__(self.numbers, key, len(self.numbers))
+        self.starts = starts[: len(self.numbers) + 1].copy()
+        self.flat = flat[: self.starts[-1]].copy()
+
+    def ids(self, texts: Iterable[str]) -> list[bytes]:
+        if len(self.numbers) > 2 * MOST_CHUNKS or self.chars > MOST_CHARS:
+            self._shrink()
+        keyed = [self.keys(t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, keyed), np.int64, len(keyed))
+        number = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(keyed)), np.int64, int(sizes.sum()))
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            values = self.value_of(list(map(self.chunk, new)))
+            self.chars += sum(len(k) if isinstance(k, str) else len(k[0]) for k in new)
+            lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(values), "<u4")])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
+        start = self.starts[number]
+        n = self.starts[number + 1] - start
+        ends = np.cumsum(n)
+        data = self.flat[np.repeat(start - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        return [data[a:b].tobytes() for a, b in itertools.pairwise(cuts)]
+
+
 def sliced(texts: list, most_chars: int = 4_000_000) -> Iterable[list]:
     """Runs of texts of no more than most_chars characters each, or of one text."""
     run, size = [], 0
