@@ -13,15 +13,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldtext.llm.common import small
-from veldtext.llm.pretokens import ChunkMemo, held, sliced
+from veldtext.llm.pretokens import ChunkIds, held, sliced
 
 #: Byte b is the character 256 + b: a letter, never a space or a control character.
 _TO_CHARS = {b: 256 + b for b in range(256)}
@@ -91,16 +94,16 @@ class ByteBpe:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(read_ranks(path)))
         self.pieces = [to_bytes(self.model.id_to_piece(i)) for i in range(self.model.get_piece_size() - 1)]
-        self.memo = ChunkMemo(self._encode_chunks, pattern)
+        self.memo = ChunkIds(self._encode_chunks, pattern)
 
-    def _encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [self.memo.pattern.findall(c) for c in chunks]
         flat = [to_chars(t.encode()) for ts in split for t in ts]
         ids = iter(self.model.encode(flat, out_type=int, num_threads=1))
-        return [[i for _ in ts for i in next(ids)] for ts in split]
+        return [array("I", itertools.chain.from_iterable(next(ids) for _ in ts)).tobytes() for ts in split]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[i for ids in value for i in ids] for value in self.memo.values(texts)]
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.memo.ids(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))

@@ -20,8 +20,7 @@ from veldtext.llm.common import trim
 _OTHER_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _BEFORE_SPACE = tuple(c + " " for c in _OTHER_SPACES)
 _BETWEEN = re.compile(f"[{_OTHER_SPACES}] [{_OTHER_SPACES}]")
-#: Chunks of one generation, and their characters, at most (beside those of one call). Two generations are remembered:
-#: what the younger one lacks moves over from the older one.
+#: Half the chunks that are remembered at most, and their characters (beside those of one call).
 MOST_CHUNKS, MOST_CHARS = 250_000, 4_000_000
 
 
@@ -46,32 +45,6 @@ class Cutter:
         return key[0] if isinstance(key, tuple) else " " + key
 
 
-class ChunkMemo(Cutter):
-    """value_of(list of chunks) gives a value for each; values() gives those of a text's chunks."""
-
-    def __init__(self, value_of: Callable[[list[str]], list], pattern: str):
-        super().__init__(pattern)
-        self.value_of, self.seen, self.older, self.chars = value_of, {}, {}, 0
-
-    def values(self, texts: Iterable[str]) -> list[list]:
-        keyed = [self.keys(t) if t else [] for t in texts]
-        new = set().union(*keyed).difference(self.seen)
-        more = sum(len(k) if isinstance(k, str) else len(k[0]) for k in new)
-        if len(self.seen) + len(new) > MOST_CHUNKS or self.chars + more > MOST_CHARS:
-            self.older, self.seen, self.chars = self.seen, {}, 0
-            new = set().union(*keyed)
-        self.chars += more
-        if self.older:
-            known = new.intersection(self.older)
-            self.seen.update((k, self.older[k]) for k in known)
-            new -= known
-        if new:
-            new = list(new)
-            self.seen.update(zip(new, self.value_of(list(map(self.chunk, new))), strict=True))
-        get = self.seen.__getitem__
-        return [list(map(get, k)) for k in keyed]
-
-
 class Numbers(dict):
     """Numbers keys from 0 as they are asked for; new has those since it was last emptied."""
 
