@@ -87,6 +87,36 @@ def test_ids_with_a_small_memory(monkeypatch, name, most):
         assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_plain_chunks_go_to_the_model_by_their_runs(monkeypatch):
+    """The library's own cutting gets none of them, and the ids are the library's."""
+    path = P.path("byte_bpe_50k.json")
+    plain, own, others = Tokenizer.from_file(path), packing.JsonTokenizer(path, P.PATTERN), []
+    cut = own._encode_any
+    monkeypatch.setattr(own, "_encode_any", lambda chunks: others.extend(chunks) or cut(chunks))
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(33, 592) if chr(c).isalpha() and c not in (170, 181, 186)]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]
+    parts = [*letters, *marks, *"0123456789", *["\n"] * 20, *[" "] * 200]
+    easy = [" ".join("".join(rng.choices(letters + marks + list("0123456789"), k=9)) for _ in range(8)) for _ in range(400)]
+    easy += ["".join(letters), "".join(marks), "one.\nTwo, 3rd\n&&& x1y2\n", prose(3, 200)]
+    hard = ["".join(rng.choices([*parts, "'", "'s", "\t", "\0", "\u0100", "\u0120", "\u01c5", "ª", "²", "日", "\xa0", "\xad"], k=rng.randint(1, 60))) for _ in range(3000)]
+    for texts, whole in ((easy, True), (hard, False)):
+        got = own.encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert bool(others) != whole
+
+
+def test_chunks_in_use_stay(monkeypatch):
+    """A frequent chunk is encoded once, though it came late and the memory was full many times."""
+    monkeypatch.setattr(pretokens, "MOST_CHUNKS", 20)
+    asked = []
+    memo = pretokens.ChunkIds(lambda chunks: asked.extend(chunks) or [np.array([len(c)], "<u4").tobytes() for c in chunks], P.PATTERN)
+    for k in range(40):
+        text = " ".join(f"rare{n}" for n in range(10 * k, 10 * k + 10)) + " often" * (3 * (k > 5))
+        assert np.frombuffer(memo.ids([text])[0], "<u4").tolist() == [len(c) + (i > 0) for i, c in enumerate(text.split(" "))]
+    assert asked.count(" often") == 1 and len(memo.numbers) <= 52
+
+
 def test_runs_of_one_length(spark, monkeypatch):
     """Lengths with many pieces are numbered in several runs."""
     monkeypatch.setattr(packing, "RUN_PIECES", 7)

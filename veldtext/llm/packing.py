@@ -16,7 +16,9 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,29 +28,79 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldtext.llm.common import materialize, small
-from veldtext.llm.pretokens import ChunkIds, held, sliced
+from veldtext.llm.pretokens import ChunkIds, Numbers, gathered, held, sliced
 
 #: Pieces of one length that are numbered in one run, on average. A row for each run, and size more, are broadcast.
 RUN_PIECES = 5_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Latin letters, and ASCII marks but the apostrophe, which begins pre-tokens like 's.
+_LETTERS, _MARKS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"!-&(-/:-@\[-`{-~"
+#: Chunks of these and digits, with single line ends. Each run of one kind is a pre-token, with the space before it.
+_PLAIN = re.compile(f" ?(?:[{_LETTERS}0-9{_MARKS}]++\n?+)++")
+_RUNS = re.compile(f" ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n|\0")
+#: Byte-level models name the bytes that are not printable in Latin-1 by the characters from 256 on.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_NAMES = [(chr(b), chr(256 + k)) for k, b in enumerate(_HIDDEN) if b == 10 or b > 127]
+
+
 class JsonTokenizer:
-    """Ids by the tokenizers library, without special tokens of its own; a chunk's ids as little-endian 32-bit."""
+    """Ids by the tokenizers library, without special tokens of its own; a chunk's ids as little-endian 32-bit.
+
+    With byte-level pre-tokens the library's model gets the runs of plain chunks by themselves, each of a call's runs
+    once. All other chunks go through the library's own cutting.
+    """
 
     def __init__(self, path: str, pattern: str, between: str = "<|endoftext|>"):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model, self.between = Tokenizer.from_file(path), between
         self.end = self.model.token_to_id(between)
         self.added = [token.content for token in self.model.get_added_tokens_decoder().values()]
         self.memo = ChunkIds(self._encode_chunks, pattern)
+        self.bare, cutting = None, self.model.pre_tokenizer
+        if isinstance(cutting, pre_tokenizers.ByteLevel) and cutting.use_regex and not cutting.add_prefix_space and not self.model.normalizer:
+            self.bare = Tokenizer(self.model.model)
+            self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            vocabulary = self.bare.get_vocab()
+            self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.first[[i for token, i in vocabulary.items() if token[0] in "\u0100\u0120"]] = True
+            self.zero = vocabulary["\u0100"]
 
     def _one(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        plain = [self.bare is not None and _PLAIN.fullmatch(c) is not None for c in chunks]
+        runs = iter(self._encode_plain([c for c, p in zip(chunks, plain, strict=True) if p]))
+        rest = iter(self._encode_any([c for c, p in zip(chunks, plain, strict=True) if not p]))
+        return [next(runs if p else rest) for p in plain]
+
+    def _encode_plain(self, chunks: list[str]) -> list[bytes]:
+        if not chunks:
+            return []
+        numbers = Numbers()
+        found = _RUNS.findall("\0".join(["", *chunks, ""]))  # so a zero has number 0, and no ids
+        number = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+        texts = []
+        for k in range(1, len(numbers), 256):
+            # a run's first id shows the space or the zero that it begins with; the zeros before other runs are taken out
+            text = "".join([r if r[0] == " " else "\0" + r for r in numbers.new[k : k + 256]])
+            text = text.encode().decode("latin-1").replace(" ", " \u0120").replace("\0", " \u0100 ")
+            for byte, name in _NAMES:
+                text = text.replace(byte, name)
+            texts.append(text)
+        encodings = self.bare.encode_batch_fast(texts, add_special_tokens=False)
+        flat = np.concatenate([np.array(e.ids, "<u4") for e in encodings])
+        starts, zeros = np.flatnonzero(self.first[flat]), flat == self.zero
+        starts -= np.cumsum(zeros)[starts] - zeros[starts]
+        data, ends = gathered(flat[~zeros], np.concatenate([[0], starts, [np.count_nonzero(~zeros)]]), number)
+        cuts, data = (ends[number == 0] * 4).tolist(), data.tobytes()
+        return [data[a:b] for a, b in itertools.pairwise(cuts)]
+
+    def _encode_any(self, chunks: list[str]) -> list[bytes]:
         """Many chunks in one call: the special token between them keeps them apart."""
         parts, out = [chunks[k : k + 64] for k in range(0, len(chunks), 64)], []
         found = self.model.encode_batch_fast([self.between.join(p) for p in parts], add_special_tokens=False)
